@@ -68,5 +68,19 @@ def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(len(ids) - n + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + len(out)])
-    return out
+            out = out * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + len(out)]
+    return mix64(out)
+
+
+def plain_word(word: bytes) -> bytes:
+    """A word in lower case without what isn't a letter or digit."""
+    if word.isalnum() and word.islower():
+        return word
+    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum()).encode()
+
+
+def word_ids(text: str | None, ids: WordIds) -> np.ndarray:
+    """Ids of a text's words, without words that have no letter or digit."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    out = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+    return out[out != 0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, mixing, secret_scan, simhash, urlfilter, warc
+from . import contamination, html_template, langid, line_quality, mixing, secret_scan, simhash, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(warc.write(_read(spark, sf_dir, "pages")), payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -30,16 +34,25 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(_read(spark, sf_dir, "documents")).drop("host", "h", "removed")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_read(spark, sf_dir, "documents"))
+
+
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "containment")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(_read(spark, sf_dir, "documents"), n=4, bits=64, radius=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_warc, op4_secret_scan, op5_line_quality, op9_url_filter, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_template, op3_warc, op4_secret_scan, op5_line_quality, op6_langid, op8_contamination, op9_url_filter, op10_simhash)}
 
 OP1_SQL = r"""
 WITH RECURSIVE sized AS (

@@ -60,8 +60,8 @@ def fingerprint(values: np.ndarray, bits: int = 64) -> np.ndarray:
 def _fingerprints(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(shingle_values(t or "", n), bits).view(np.int64).tolist() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "h", "fp"])
+            fps = [fingerprint(shingle_values(t or "", n), bits).astype(">u8").tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(fps, pa.binary())], ["doc_id", "h", "fp"])
 
     return run
 
@@ -155,70 +155,109 @@ def gray_sorted(fps: np.ndarray) -> np.ndarray:
     return np.lexsort([gray_rank(fps[:, k]) for k in range(fps.shape[1] - 1, -1, -1)])
 
 
-def _bucket_links(radius: int):
+def _words(column: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+
+
+def _keyed(masks: list[np.ndarray]):
+    """A row per fingerprint and mask: the key is a hash of the masked bit pattern."""
+    used = [[(w, x) for w, x in enumerate(m) if x] for m in masks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = _words(b["fp"], len(masks[0]))
+            for k, fields in enumerate(used):
+                key = np.zeros(len(fp), np.uint64)
+                for w, x in fields:
+                    key = mix64(key * np.uint64(3) + (fp[:, w] & x) + np.uint64(w))
+                yield pa.RecordBatch.from_arrays([b["id"], b["fp"], pa.array(np.full(len(fp), k, np.int32)), pa.array(key.view(np.int64))], ["id", "fp", "mask", "key"])
+
+    return run
+
+
+def _small_links(fp: np.ndarray, bucket: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links in many buckets of a leaf or less at once; rows are in order of bucket."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    for step in range(1, LEAF):
+        i = np.flatnonzero(bucket[step:] == bucket[:-step])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(fp[i] ^ fp[i + step]).sum(1, dtype=np.int64) <= radius]
+        for x in i.tolist():
+            u, v = top(x), top(x + step)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((x, x + step))
+    return out
+
+
+def _bucket_links(radius: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bucket (table, key, pair of blocks): a bucket is joined when it is complete; its size is bounded by two blocks."""
-        head, held = None, []
-
-        def links():
-            if sum(map(len, held)) < 2:
-                return []
-            t = pa.Table.from_batches(held)
-            fp = np.array(t["fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).view(np.uint64).reshape(len(t), -1)
-            side = t["side"].to_numpy()
-            ids = t["id"].to_numpy()
-            if (side == 0).all():
-                o = gray_sorted(fp)
-                return [(ids[o[x]], ids[o[y]]) for x, y in forest(fp[o], None, radius)]
-            o = [np.flatnonzero(side == s) for s in (1, 2)]
-            o = [x[gray_sorted(fp[x])] for x in o if len(x)]
-            if len(o) < 2:
-                return []
-            both = np.concatenate(o)
-            return [(ids[both[x]], ids[both[y]]) for x, y in forest(fp[o[0]], fp[o[1]], radius)]
-
-        def batch(found):
-            a, b = zip(*found)
+        """Rows sorted by bucket (mask, key, pair of blocks). What is held is the last, incomplete bucket, of two blocks at most."""
+        held = None
+
+        def joined(t: pa.Table) -> pa.RecordBatch | None:
+            head = np.stack([t[c].to_numpy().astype(np.int64) for c in ("mask", "key", "pair")])
+            new = np.flatnonzero(np.concatenate([[True], (head[:, 1:] != head[:, :-1]).any(0)]))
+            size = np.diff(np.append(new, len(t)))
+            ids, side = t["id"].to_numpy(), t["side"].to_numpy()
+            fp = _words(t["fp"].combine_chunks(), words)
+            number = np.repeat(np.arange(len(new)), size)
+            plain = np.bincount(number, side > 0, len(new)) == 0
+            small = np.flatnonzero((plain & (size > 1) & (size <= LEAF))[number])
+            found = [(small[x], small[y]) for x, y in _small_links(fp[small], number[small], radius)] if len(small) else []
+            for k in np.flatnonzero((size > 1) & ~(plain & (size <= LEAF))):
+                at = np.arange(new[k], new[k] + size[k])
+                sides = [at] if plain[k] else [at[side[at] == 1], at[side[at] == 2]]
+                sides = [x[gray_sorted(fp[x])] for x in sides]
+                if all(map(len, sides)):
+                    both = np.concatenate(sides)
+                    found += [(both[x], both[y]) for x, y in forest(fp[sides[0]], None if plain[k] else fp[sides[1]], radius)]
+            if not found:
+                return None
+            a, b = (ids[np.array(x)] for x in zip(*found))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for rb in batches:
-            keys = list(zip(rb["mask"].to_pylist(), rb["key"].to_pylist(), rb["pair"].to_pylist()))
-            i = 0
-            while i < len(keys):
-                j = i
-                while j < len(keys) and keys[j] == keys[i]:
-                    j += 1
-                if keys[i] != head:
-                    if found := links():
-                        yield batch(found)
-                    head, held = keys[i], []
-                held.append(rb.slice(i, j - i))
-                i = j
-        if found := links():
-            yield batch(found)
+            t = pa.Table.from_batches([rb]) if held is None else pa.concat_tables([held, pa.Table.from_batches([rb])])
+            if not len(t):
+                continue
+            last = [t[c][len(t) - 1].as_py() for c in ("mask", "key", "pair")]
+            head = np.stack([t[c].to_numpy().astype(np.int64) for c in ("mask", "key", "pair")])
+            cut = int(np.flatnonzero((head == np.array(last)[:, None]).all(0))[0])
+            held = t.slice(cut)
+            if cut and (out := joined(t.slice(0, cut))) is not None:
+                yield out
+        if held is not None and (out := joined(held)) is not None:
+            yield out
 
     return run
 
 
 def links(fps: DataFrame, radius: int, masks: list[np.ndarray], block: int = BLOCK) -> DataFrame:
-    """a, b: ids of linked fingerprints, a spanning forest per bucket. `fps` is a written table of id (long), fp (array<long>), distinct in fp.
+    """a, b: ids of linked fingerprints, a spanning forest per bucket. `fps` is a written table of id (long), fp (binary), distinct in fp.
 
-    Buckets of one are dropped by counting; those above `block` are cut into blocks by hash and joined as
-    pairs of blocks, so no task holds more than two blocks, and no link is lost.
+    Buckets above `block` are cut into blocks by hash and joined as pairs of blocks, so no task holds more than
+    two blocks, and no link is lost. All rows are shuffled once.
     """
-    signed = lambda m: [int(x) for x in m.view(np.int64)]
-    masked = [F.struct(F.lit(k).alias("mask"), F.xxhash64(*[F.get("fp", F.lit(w)).bitwiseAND(F.lit(x)) for w, x in enumerate(signed(m)) if x]).alias("key")) for k, m in enumerate(masks)]
-    rows = fps.select("id", "fp", F.explode(F.array(*masked)).alias("x")).select("id", "fp", "x.mask", "x.key")
-    sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select(F.col("mask").alias("m"), F.col("key").alias("k"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    met = rows.join(sizes, (F.col("mask") == F.col("m")) & (F.col("key") == F.col("k")))
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct((F.least(own, o) * F.col("parts") + F.greatest(own, o)).alias("pair"), F.when(o == own, F.lit(0)).when(own < o, F.lit(1)).otherwise(F.lit(2)).alias("side")))
-    )
-    met = met.select("id", "fp", "mask", "key", F.explode(pairs).alias("p")).select("id", "fp", "mask", "key", "p.pair", "p.side")
+    rows = fps.select("id", "fp").mapInArrow(_keyed(masks), "id long, fp binary, mask int, key long")
+    keys = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = materialize(keys.select(F.col("mask").alias("m"), F.col("key").alias("k"), F.ceil(F.col("n") / block).cast("int").alias("parts")), "large-buckets")
+    met = rows.join(large, (F.col("mask") == F.col("m")) & (F.col("key") == F.col("k")), "left")
+    own, parts = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.col("parts")
+    one = F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).alias("side")))
+    side = lambda o: F.when(o == own, F.lit(0)).when(own < o, F.lit(1)).otherwise(F.lit(2))
+    blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct((F.least(own, o) * parts + F.greatest(own, o)).alias("pair"), side(o).alias("side")))
+    met = met.select("id", "fp", "mask", "key", F.explode(F.when(parts.isNull(), one).otherwise(blocks)).alias("p")).select("id", "fp", "mask", "key", "p.pair", "p.side")
     met = met.repartition("mask", "key", "pair").sortWithinPartitions("mask", "key", "pair")
-    return met.mapInArrow(_bucket_links(radius), "a long, b long")
+    return met.mapInArrow(_bucket_links(radius, len(masks[0])), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,14 +287,15 @@ def fingerprints(docs: DataFrame, n: int, bits: int = 64) -> DataFrame:
     """A written table of doc_id, h (hash of the text), fp; repeated texts are hashed once per row, null texts are empty."""
     slim = docs.select("doc_id", text_column().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return materialize(slim.mapInArrow(_fingerprints(n, bits), f"doc_id {kind}, h long, fp array<long>"), "fingerprints")
+    return materialize(slim.mapInArrow(_fingerprints(n, bits), f"doc_id {kind}, h long, fp binary"), "fingerprints")
 
 
 def link_masks(bits: int, radius: int, count: int) -> list[np.ndarray]:
-    """Exact masks for a small radius; else random ones that miss a pair at the radius once in 100, of a width that follows the number of fingerprints."""
+    """Exact masks for a radius of up to 4. For a larger one random masks, of a width that follows the number of
+    fingerprints, so that a bucket holds 16 by chance; they miss a pair at two thirds of the radius once in 200."""
     if radius <= 4:
         return exact_masks(bits, radius, radius + 2)
-    return random_masks(bits, radius, max(16, math.ceil(math.log2(count + 2))), 0.01)
+    return random_masks(bits, radius * 2 // 3, max(12, math.ceil(math.log2(count + 2)) - 4), 0.005)
 
 
 def groups(docs: DataFrame, n: int = 4, bits: int = 64, radius: int = 4) -> DataFrame:
@@ -274,18 +314,19 @@ def groups(docs: DataFrame, n: int = 4, bits: int = 64, radius: int = 4) -> Data
     return fps.join(named, F.col("fp") == F.col("nfp"), "left").select("doc_id", "h", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, n: int = 5, bits: int = 256, radius: int = 44) -> DataFrame:
+def dedup(docs: DataFrame, n: int = 5, bits: int = 256, radius: int = 48) -> DataFrame:
     """docs with one document of each group, the one with the smallest id, in the columns of docs.
 
     With five-word shingles and 256 bits, texts of similarity 0.8 differ in about 30 bits and unrelated ones in 128;
-    the radius takes in texts of 0.8 with a margin of over two standard deviations. Of rows with one id and one text, one
+    the radius takes in texts of 0.8 with a margin of two standard deviations. Of rows with one id and one text, one
     stays; so does one with a null id if its group has no other.
     """
     g = groups(docs, n, bits, radius)
-    keep = g.where("doc_id = component_id or component_id is null").groupBy(F.col("doc_id").alias("kid")).agg(F.min("h").alias("kh"))
+    keep = g.where("doc_id = component_id or component_id is null").groupBy(F.col("doc_id").alias("kid")).agg(F.min("h").alias("kh"), F.count("*").alias("c"))
+    keep = materialize(keep, "kept")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_column()).alias("h"))
     kept = rows.join(keep, F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")))
-    single = kept.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() == 0
-    if single:
+    if not keep.where("c > 1").limit(1).count():
         return kept.select("row.*")
-    return kept.groupBy("id").agg(F.first("row").alias("row")).select("row.*")
+    once = kept.where("c > 1").groupBy("id").agg(F.first("row").alias("row"))
+    return kept.where("c = 1").select("row").unionByName(once.select("row")).select("row.*")
