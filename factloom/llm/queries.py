@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, html_template, langid, line_quality, mixing, secret_scan, simhash, urlfilter, warc
+from . import compact_windows, contamination, html_template, langid, line_quality, mixing, secret_scan, simhash, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_read(spark, sf_dir, "documents"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compact_windows.classes(_read(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("passages", lambda p: F.concat_ws("+", p["start"], p["words"])), ",")
+    return found.select("doc_id", "class_id", "n_links", spans.alias("passages"))
+
+
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "containment")
@@ -52,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_template, op3_warc, op4_secret_scan, op5_line_quality, op6_langid, op8_contamination, op9_url_filter, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_template, op3_warc, op4_secret_scan, op5_line_quality, op6_langid, op7_compact_windows, op8_contamination, op9_url_filter, op10_simhash)}
 
 OP1_SQL = r"""
 WITH RECURSIVE sized AS (
