@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: lost executors don't recompute it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: writers hold one each
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -37,10 +37,17 @@ def text_column(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def rows_of(batch, *names: str, step: int = 256):
+    """Tuples of the columns of an Arrow batch, as Python values of a few rows at a time."""
+    for k in range(0, len(batch), step):
+        part = batch.slice(k, step)
+        yield from zip(*(part[c].to_pylist() for c in names))
+
+
 class WordIds(dict):
     """64-bit ids of words, remembered up to a bound."""
 
-    def __init__(self, clean=None, bound: int = 1_000_000):
+    def __init__(self, clean=None, bound: int = 200_000):
         super().__init__()
         self.clean, self.bound = clean, bound
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WordIds, materialize, mix64, plain_word, shingle_hashes, text_column, word_ids
+from .common import BROADCAST_BYTES, WordIds, materialize, mix64, plain_word, rows_of, shingle_hashes, text_column, word_ids
 
 #: Shingle size, containment, MinHash functions (bands of one row), ratio of the sizes in a part, window in units of the part's largest size.
 WORDS, CONTAINMENT, HASHES, RATIO, SPAN = 5, 0.8, 64, 1.5, 3
@@ -83,7 +83,7 @@ def _searcher(block, containment: float):
         items, ids = block.value, WordIds(plain_word)
         for b in batches:
             rows = []
-            for i, text in enumerate(b["text"].to_pylist()):
+            for i, (text,) in enumerate(rows_of(b, "text")):
                 s = shingle_hashes(word_ids(text, ids), WORDS)
                 rows += [(i, item, share) for item, share in items.search(s, containment)] if len(s) else []
             at = pa.array([r[0] for r in rows], pa.int64())

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, text_column
+from .common import BROADCAST_BYTES, materialize, rows_of, text_column
 from .urlfilter import host_and_path
 
 #: Pages that a host needs for a template, and the share of them that a token must be on; texts above the words are content.
@@ -89,7 +89,7 @@ def token_hash(kind: str, token: str, value: str, path: tuple) -> int | None:
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
-        for host, key, page in zip(b["host"].to_pylist(), b["h"].to_pylist(), b["html"].to_pylist()):
+        for host, key, page in rows_of(b, "host", "h", "html"):
             count: Counter = Counter()
             first: dict[int, int] = {}
             for k, t in enumerate(tokens(page)):
@@ -160,7 +160,7 @@ def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, set[int]] = {}
     for b in batches:
         text = []
-        for host, page, template in zip(b["host"].to_pylist(), b["html"].to_pylist(), b["template"]):
+        for (host, page), template in zip(rows_of(b, "host", "html"), b["template"]):
             if template.is_valid and host not in known:
                 if len(known) > 1000:
                     known.clear()

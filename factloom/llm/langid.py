@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import rows_of, text_column
 
 BUCKETS = 1 << 15
 #: Expected number of documents per language that the model is fitted on, chosen by a hash of the text, whole texts each.
@@ -39,7 +39,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for b in batches:
-        for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
+        for lang, text in rows_of(b, "lang", "text"):
             code, _ = grams(text)
             if lang not in total:
                 total[lang] = np.zeros(BUCKETS, np.int64)
@@ -117,7 +117,7 @@ def _predictor(model):
         langs, log_p = model.value
         for b in batches:
             lang, score = [], []
-            for text in b["text"].to_pylist():
+            for (text,) in rows_of(b, "text"):
                 m = mixture(text, log_p)
                 lang.append("und" if m is None else langs[int(m.argmax())])
                 score.append(0.0 if m is None else float(min(1.0, m.max())))

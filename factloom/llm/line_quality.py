@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_column
+from .common import materialize, rows_of, text_column
 
 SYMBOLS = "#*$%&|<>"
 #: Least documents of a host that a line must recur in, least share of them that aren't copies of each other,
@@ -67,7 +67,7 @@ def stats(text: str) -> tuple[int, int, int, int, int, list[int], list[int]]:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [stats(t or "") for t in b["text"].to_pylist()]
+        got = [stats(t or "") for (t,) in rows_of(b, "text")]
         cols = list(zip(*got)) or [()] * 7
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["host"], b["h"], *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "host", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"])
@@ -115,7 +115,7 @@ def judge(docs: DataFrame, host: str = "source", least: int = LINE_DOCUMENTS, di
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for text, removed in zip(b["text"].to_pylist(), b["removed"].to_pylist()):
+        for text, removed in rows_of(b, "text", "removed"):
             drop = set(removed)
             keep = [x for x in text.split("\n") if not (w := x.encode("utf-8", "surrogatepass").split()) or xxhash.xxh64_intdigest(normal_line(w)) - (1 << 63) not in drop]
             out.append("\n".join(keep))

@@ -19,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_column
+from .common import materialize, mix64, rows_of, text_column
 
 LEAF, FANOUT = 32, 8
 #: Most fingerprints of a bucket that one task holds; larger buckets are joined in pairs of blocks.
 BLOCK = 4096
+#: Edges that one task holds.
+CHUNK = 1 << 20
 _BITS = np.array([[b >> (7 - j) & 1 for j in range(8)] for b in range(256)], np.float64)
 
 
@@ -60,7 +62,7 @@ def fingerprint(values: np.ndarray, bits: int = 64) -> np.ndarray:
 def _fingerprints(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(shingle_values(t or "", n), bits).astype(">u8").tobytes() for t in b["text"].to_pylist()]
+            fps = [fingerprint(shingle_values(t or "", n), bits).astype(">u8").tobytes() for (t,) in rows_of(b, "text")]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(fps, pa.binary())], ["doc_id", "h", "fp"])
 
     return run
@@ -260,23 +262,55 @@ def links(fps: DataFrame, radius: int, masks: list[np.ndarray], block: int = BLO
     return met.mapInArrow(_bucket_links(radius, len(masks[0])), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable. Large-star and small-star steps on written tables until nothing moves.
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars in place of a task's edges, CHUNK of them at a time: each node with the smallest one it reaches over them."""
+    parent: dict[int, int] = {}
 
-    Each step joins a node's neighbours with the smallest of them, an aggregate, so hubs are summed
-    before the shuffle and their rows can be split; the number of steps grows with the logarithm of a component.
+    def top(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def stars() -> pa.RecordBatch:
+        nodes = list(parent)
+        u = np.array(nodes, np.int64)
+        v = np.array([top(x) for x in nodes], np.int64)
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
+
+    for b in batches:
+        for x, y in zip(b["u"].to_pylist(), b["v"].to_pylist()):
+            x, y = top(x), top(y)
+            parent[max(x, y)] = min(x, y)
+        if len(parent) > CHUNK:
+            yield stars()
+    if parent:
+        yield stars()
+
+
+def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """node, label: the smallest node reachable.
+
+    Tasks contract their edges to stars, at most `chunk` at a time; stars that fit one chunk are contracted once more,
+    which ends it. More than that go through large-star and small-star steps on written tables until nothing
+    moves. A step joins a node's neighbours with the smallest of them, an aggregate, so hubs are summed before the
+    shuffle and their rows can be split; the number of steps grows with the logarithm of a component.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "star")
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = materialize(e.mapInArrow(_contract, "u long, v long"), "stars")
+    if e.count() <= chunk:
+        return materialize(e.repartition(1).mapInArrow(_contract, "u long, v long"), "stars").select(F.col("u").alias("node"), F.col("v").alias("label"))
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.col("u").alias("c"), "m")
-        large = both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(low, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = materialize(small.where("u <> v").distinct(), "star")
+        e = materialize(small.where("u <> v").distinct(), "stars")
         after = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).collect()[0]
         if after == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label"))

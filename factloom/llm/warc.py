@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, text_column
+from .common import materialize, rows_of, shared_dir, text_column
 
 DATE = "1970-01-01T00:00:00Z"  # reruns write equal bytes
 INDEX = "page_id long, url string, digest string, type string, file string, offset long, length long"
@@ -45,10 +45,12 @@ def _gzip(data: bytes) -> bytes:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page as the gzip member of a response record, before the shuffle, which then moves compressed bytes."""
     for b in batches:
-        c = b.to_pydict()
-        digests = [base64.b32encode(bytes.fromhex(x)).decode() for x in c["sha1"]]
-        member = [_gzip(_header("response", i, u, d, len(h), None, len(h)) + h + b"\r\n\r\n") for i, u, d, h in zip(c["page_id"], c["url"], digests, c["payload"])]
-        yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["sha1"], pa.array(digests, pa.string()), pa.array([len(h) for h in c["payload"]], pa.int64()), pa.array(member, pa.binary())], ["page_id", "url", "sha1", "digest", "n_bytes", "member"])
+        rows = []
+        for i, u, sha1, h in rows_of(b, "page_id", "url", "sha1", "payload"):
+            d = base64.b32encode(bytes.fromhex(sha1)).decode()
+            rows.append((d, len(h), _gzip(_header("response", i, u, d, len(h), None, len(h)) + h + b"\r\n\r\n")))
+        digests, sizes, members = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["sha1"], pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())], ["page_id", "url", "sha1", "digest", "n_bytes", "member"])
 
 
 def _writer(root: str):
@@ -60,9 +62,8 @@ def _writer(root: str):
         out, at = None, 0
         try:
             for b in batches:
-                c = b.to_pydict()
                 rows = []
-                for i, u, d, n, m, first, keeper in zip(c["page_id"], c["url"], c["digest"], c["n_bytes"], c["member"], c["first"], c["keeper"]):
+                for i, u, d, n, m, first, keeper in rows_of(b, "page_id", "url", "digest", "n_bytes", "member", "first", "keeper"):
                     kind = "response" if first else "revisit"
                     data = m if kind == "response" else _gzip(_header(kind, i, u, d, n, "" if keeper is None else keeper, 0) + b"\r\n\r\n")
                     if out is None:

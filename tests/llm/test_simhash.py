@@ -100,3 +100,15 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.groups(docs).collect() == []
     assert simhash.dedup(docs).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 3])
+def test_components(spark, chunk):
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(40)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(3), chunk).collect()}
+    assert {x: got.get(x, x) for x in label} == label
