@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, text_column
+from .common import BROADCAST_BYTES, materialize, text_column
 
 # The base patterns.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -114,19 +114,17 @@ def structured_limit(tests: DataFrame, alpha: float, bins: int = 20) -> DataFram
 
 
 def scan(docs: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row per document: doc_id, text, spans (array of struct<start, rank, end, value>, by start, then kind).
+    """One row per document: doc_id, h (hash of the text), base and spans (arrays of struct<start, rank, end>, by start, then kind).
 
     rank indexes KINDS; positions are code points, the end exclusive. Null texts are empty and have
     no spans. Documents without a candidate, most of them, skip the battery. Tokens of the battery that
     overlap a base span add nothing. Repeated rows are scanned alike; other columns are ignored.
     The corpus-wide threshold comes from a table of candidates, which is small beside the texts.
     """
-    d = docs.select("doc_id", text_column().alias("text"))
-    rows = _spans(d, alpha)
-    return rows
+    return _spans(docs.select("doc_id", text_column().alias("text")), alpha)
 
 
-def _spans(d: DataFrame, alpha: float, keep: tuple[str, ...] = ()) -> DataFrame:
+def _spans(d: DataFrame, alpha: float) -> DataFrame:
     text = F.col("text")
     token = TOKEN % LEAST_CHARS
     d = d.withColumn("a", _matches(text, ASSIGN, 2, 6)).withColumn("k", _matches(text, ACCESS)).withColumn("h", _matches(text, HEX)).withColumn("t", _matches(text, token))
@@ -137,7 +135,7 @@ def _spans(d: DataFrame, alpha: float, keep: tuple[str, ...] = ()) -> DataFrame:
     apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     mixed = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
     d = d.withColumn("t", F.filter("t", lambda m: mixed(m) & apart(m)))
-    found = materialize(d.select("doc_id", F.xxhash64("text").alias("h"), F.transform("base", lambda b: F.struct(b["start"], b["rank"], b["end"])).alias("base"), F.col("t").alias("t"), *keep), "secrets")
+    found = materialize(d.select("doc_id", F.xxhash64("text").alias("h"), F.transform("base", lambda b: F.struct(b["start"], b["rank"], b["end"])).alias("base"), F.col("t").alias("t")), "secrets")
     tests = battery(found.where(F.size("t") > 0).select("doc_id", "h", F.explode("t").alias("t")).select("doc_id", "h", F.col("t.value").alias("token"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).distinct())
     tests = materialize(tests.select("doc_id", "h", "token", "start", "end", "encoding", "n", "p_uniform", "p_runs", "p_serial", "p"), "secret-tests")
     limit = structured_limit(tests, alpha)
@@ -146,7 +144,7 @@ def _spans(d: DataFrame, alpha: float, keep: tuple[str, ...] = ()) -> DataFrame:
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     plain = found.where(F.size("t") == 0).withColumn("extra", none)
     tested = found.where(F.size("t") > 0).join(random, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("rh")), "left").withColumn("extra", F.coalesce("extra", none))
-    out = plain.select("doc_id", "h", "base", "extra", *keep).unionByName(tested.select("doc_id", "h", "base", "extra", *keep))
+    out = plain.select("doc_id", "h", "base", "extra".unionByName(tested.select("doc_id", "h", "base", "extra")
     return out.withColumn("spans", F.array_sort(F.concat(F.col("base").cast("array<struct<start:int,rank:int,end:int>>"), "extra"))).drop("extra")
 
 
@@ -166,8 +164,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", alpha: float = 0.05) -> Data
 
     Only the documents with a span are rewritten; null texts stay null.
     """
-    d = docs.select("doc_id", text_column().alias("text"), F.struct("*").alias("row"))
-    found = _spans(d, alpha, ("row",))
+    found = scan(docs, alpha).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("sid"), F.col("h").alias("sh")).agg(F.first("spans").alias("spans"))
+    found = materialize(found, "redactions")
+    n_bytes = found.agg(F.sum(F.size("spans") * 24 + 64)).collect()[0][0] or 0
+    found = F.broadcast(found) if n_bytes <= BROADCAST_BYTES else found
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_column()).alias("h"))
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left").select("row", "spans")
     text = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -176,6 +178,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", alpha: float = 0.05) -> Data
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    found = found.withColumn("clean", F.when(F.size("spans") > 0, clean).otherwise(text))
-    new = {"text": F.col("clean")} | ({"n_chars": F.when(F.size("spans") > 0, F.length("clean")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    rows = rows.withColumn("clean", F.when(F.col("spans").isNotNull(), clean).otherwise(text))
+    new = {"text": F.col("clean")} | ({"n_chars": F.when(F.col("spans").isNotNull(), F.length("clean")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
