@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators: chunking, extraction, entities, spans, geometry, scoring, retrieval, audit."""

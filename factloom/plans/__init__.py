@@ -1 +1 @@
-"""See the package README."""
+"""Composed plans: the ingest pipeline and the engine facade."""
