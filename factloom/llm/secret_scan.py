@@ -144,7 +144,7 @@ def _spans(d: DataFrame, alpha: float) -> DataFrame:
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     plain = found.where(F.size("t") == 0).withColumn("extra", none)
     tested = found.where(F.size("t") > 0).join(random, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("rh")), "left").withColumn("extra", F.coalesce("extra", none))
-    out = plain.select("doc_id", "h", "base", "extra".unionByName(tested.select("doc_id", "h", "base", "extra")
+    out = plain.select("doc_id", "h", "base", "extra").unionByName(tested.select("doc_id", "h", "base", "extra"))
     return out.withColumn("spans", F.array_sort(F.concat(F.col("base").cast("array<struct<start:int,rank:int,end:int>>"), "extra"))).drop("extra")
 
 
