@@ -22,6 +22,18 @@ def _line(before: Column, after: Column) -> Column:
     return F.substring(strip(F.concat(F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1))), 1, vocab.EXCERPT_CHARS)
 
 
+def _record_maker(text, rule, kind, subtype, entity, whole, value, gaps):
+    """The record of a rule's i-th match; the text before it is put together from the pieces between and the matches."""
+
+    def one(i):
+        joined = F.zip_with(F.slice(gaps, F.lit(1), i), F.slice(whole, F.lit(1), i), lambda g, m: F.concat(F.coalesce(g, F.lit("")), F.coalesce(m, F.lit(""))))
+        before = F.concat(F.array_join(joined, ""), F.get(gaps, i))
+        line = _line(before, text.substr(F.length(before) + 1, F.length(text)))
+        return F.struct(F.lit(rule).alias("rule"), i.alias("pos"), entity.alias("entity"), F.lit(kind).alias("claim_type"), F.lit(subtype).cast("string").alias("claim_subtype_raw"), F.get(value, i).alias("claim_value"), line.alias("source_excerpt"), F.lit(0.88).alias("confidence"))
+
+    return one
+
+
 def extract_by_rules(chunks: DataFrame) -> DataFrame:
     """Raw records of the offline extractor: deal_id, chunk_id, chunk_index, source_pages, ord, and the record's fields.
 
@@ -35,12 +47,7 @@ def extract_by_rules(chunks: DataFrame) -> DataFrame:
         whole, value = F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), 1)
         gaps = F.split(text, pattern, -1)
 
-        def one(i, whole=whole, value=value, gaps=gaps, k=k, kind=kind, subtype=subtype, entity=entity):
-            piece = lambda a, n: F.array_join(F.flatten(F.zip_with(F.slice(gaps, a, n), F.slice(whole, a, n), lambda g, m: F.array(F.coalesce(g, F.lit("")), F.coalesce(m, F.lit(""))))), "")
-            before = F.concat(piece(F.lit(1), i), F.get(gaps, i))
-            after = text.substr(F.length(before) + 1, F.length(text))
-            return F.struct(F.lit(k).alias("rule"), i.alias("pos"), entity.alias("entity"), F.lit(kind).alias("claim_type"), F.lit(subtype).cast("string").alias("claim_subtype_raw"), F.get(value, i).alias("claim_value"), _line(before, after).alias("source_excerpt"), F.lit(0.88).alias("confidence"))
-
+        one = _record_maker(text, k, kind, subtype, entity, whole, value, gaps)
         found.append(F.when(text.rlike(pattern), F.transform(F.sequence(F.lit(0), F.size(whole) - 1), one)).otherwise(F.array().cast(RECORD)))
 
     def cue(k, applies, at, kind, subtype, value, confidence):
@@ -85,7 +92,7 @@ def coerce(records: DataFrame) -> DataFrame:
     out = out.withColumn("claim_subtype_raw", F.when((F.col("claim_type") == "other") & is_blank(F.col("claim_subtype_raw")), label).otherwise(F.col("claim_subtype_raw")))
     out = out.withColumn("source_excerpt", F.substring(F.coalesce("source_excerpt", F.lit("")), 1, vocab.EXCERPT_CHARS))
     confidence = F.col("confidence").try_cast("double")
-    return out.withColumn("confidence_score", F.coalesce(F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))).drop("confidence")
+    return out.withColumn("confidence_score", F.when(confidence.isNull() | F.isnan(confidence), F.lit(0.5)).otherwise(F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)))).drop("confidence")
 
 
 def match_key(name: Column) -> Column:
