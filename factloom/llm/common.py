@@ -47,7 +47,7 @@ def rows_of(batch, *names: str, step: int = 256):
 class WordIds(dict):
     """64-bit ids of words, remembered up to a bound."""
 
-    def __init__(self, clean=None, bound: int = 200_000):
+    def __init__(self, clean=None, bound: int = 400_000):
         super().__init__()
         self.clean, self.bound = clean, bound
 
@@ -79,10 +79,13 @@ def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+_MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
+
+
 def plain_word(word: bytes) -> bytes:
     """A word in lower case without what isn't a letter or digit."""
-    if word.isalnum() and word.islower():
-        return word
+    if word.isascii():
+        return word.lower().translate(None, _MARKS)
     return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum()).encode()
 
 
