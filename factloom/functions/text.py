@@ -46,4 +46,4 @@ def general(x: Column) -> Column:
     wide = F.concat(mantissa, F.lit("e"), F.regexp_extract(raw, r"e([+-]\d+)$", 1))
     fixed = F.concat(*[F.when(power == p, F.format_string(f"%.{5 - p}f", x)).otherwise(F.lit("")) for p in range(-4, 6)])
     fixed = F.when(fixed.contains("."), F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")).otherwise(fixed)
-    return F.when(x == 0, F.lit("0")).when((power < -4) | (power >= 6), wide).otherwise(fixed)
+    return F.when(x == 0, F.when(x.cast("string").startswith("-"), F.lit("-0")).otherwise(F.lit("0"))).when((power < -4) | (power >= 6), wide).otherwise(fixed)

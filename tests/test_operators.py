@@ -98,7 +98,7 @@ def test_mandates_are_checked(spark, tmp_path):
 
 
 def test_filters_stand_before_python_and_criteria_are_broadcast(spark):
-    facts = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.col("o_custkey").cast("string").alias("deal_id"), F.col("o_orderkey").cast("string").alias("fact_id"), F.lit("revenue").alias("claim_type"), F.lit(None).cast("string").alias("claim_subtype_raw"), F.lit("USD").alias("normalized_value_unit"), F.col("o_totalprice").alias("normalized_value_numeric"))
+    facts = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.col("o_custkey").cast("string").alias("deal_id"), F.col("o_orderkey").cast("string").alias("fact_id"), F.when(F.col("o_orderkey") % 2 == 0, "revenue").otherwise("tvpi").alias("claim_type"), F.lit(None).cast("string").alias("claim_subtype_raw"), F.lit("USD").alias("normalized_value_unit"), F.col("o_totalprice").alias("normalized_value_numeric"))
     plan = scoring.matches(facts, criteria_frame(spark, MANDATE))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
