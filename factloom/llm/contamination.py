@@ -33,6 +33,11 @@ def part_size(n: int) -> int:
     return math.ceil(RATIO ** math.ceil(math.log(n, RATIO) - 1e-9))
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted, non-empty array."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class Items:
     """A block of test items with what the search needs."""
 
@@ -57,7 +62,7 @@ class Items:
     def search(self, shingles: np.ndarray, containment: float) -> list[tuple[int, float]]:
         """item_id and containment of the items that a document's shingles contain."""
         at = np.flatnonzero(self.low[shingles & np.uint64((1 << 20) - 1)])
-        at = at[np.isin(shingles[at], self.picked)] if len(at) else at
+        at = at[among(shingles[at], self.picked)] if len(at) else at
         if not len(at):
             return []
         found = set()
@@ -69,11 +74,12 @@ class Items:
             if len(shingles) < u:
                 for k, v in enumerate(signature(shingles).tolist()):
                     found.update(bands.get((k, v), ()))
-        whole = np.unique(shingles)
-        out = []
+        if not found:
+            return []
+        whole, out = np.sort(shingles), []
         for i in sorted(found):
             item_id, s = self.items[i]
-            if (share := np.isin(s, whole, assume_unique=True).mean()) >= containment - 1e-9:
+            if (share := among(s, whole).mean()) >= containment - 1e-9:
                 out.append((item_id, float(share)))
         return out
 
