@@ -86,7 +86,8 @@ def plain_word(word: bytes) -> bytes:
     """A word in lower case without what isn't a letter or digit."""
     if word.isascii():
         return word.lower().translate(None, _MARKS)
-    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum()).encode()
+    w = word.decode("utf-8", "replace").lower()
+    return (w if w.isalnum() else "".join(filter(str.isalnum, w))).encode()
 
 
 def word_ids(text: str | None, ids: WordIds) -> np.ndarray:
