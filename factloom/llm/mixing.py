@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, text_column
+from .common import BROADCAST_BYTES, WORD, materialize, text_column
 
 
 def size_of(text: Column) -> Column:
@@ -68,9 +68,14 @@ def mix(docs: DataFrame, seed: str = "mix", **rule) -> DataFrame:
 
 
 def emit(docs: DataFrame, seed: str = "mix", **rule) -> DataFrame:
-    """The mixed corpus: the rows of docs, each as often as the mix takes it, in the columns of docs."""
+    """The mixed corpus: the rows of docs, each as often as the mix takes it, in the columns of docs.
+
+    Rates are written first, one row per source, and broadcast where their size allows, so that texts aren't shuffled.
+    """
     per = targets(docs.select(F.col("source").cast("string").alias("source"), size_of(text_column()).alias("size")), **rule)
-    per = per.select(F.col("source").alias("s"), "rate")
+    per = materialize(per.select(F.col("source").alias("s"), "rate"), "rates")
+    n_bytes = per.agg(F.sum(F.coalesce(F.octet_length("s"), F.lit(0)) + 32)).collect()[0][0] or 0
+    per = F.broadcast(per) if n_bytes <= BROADCAST_BYTES else per
     rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("src"), F.col("doc_id").alias("id"))
     copies = F.floor("rate") + (coin(F.col("id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     out = rows.join(per, F.col("src").eqNullSafe(F.col("s"))).select("row", copies.cast("int").alias("n"))
