@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 
+#: Most bytes of excerpts that are broadcast at once.
+BLOCK_BYTES = 8 << 20
+
 
 def exact_span(excerpt: Column, text: Column) -> Column:
     """struct<start, end, status> of the first occurrence, [start, end); unverified for none and for empty sides."""
@@ -20,6 +25,24 @@ def exact_span(excerpt: Column, text: Column) -> Column:
     return F.struct(F.when(ok, at - 1).alias("start"), F.when(ok, at - 1 + F.length(excerpt)).alias("end"), F.when(ok, F.lit("verified_exact")).otherwise(F.lit("unverified")).alias("status"))
 
 
+def exact_pairs(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, start, end, status of every pair of documents (doc_id, text) and items (item_id, excerpt), as exact_span() has them.
+
+    Items are broadcast in blocks bounded in bytes; documents are read once per block and never shuffled.
+    """
+    n_bytes = items.agg(F.sum(F.octet_length("excerpt") + 64)).first()[0] or 0
+    blocks = max(1, math.ceil(n_bytes / block_bytes))
+    # The search is the costly part: a column of its own is computed once a pair.
+    at, ok = F.instr(F.col("text"), F.col("excerpt")).alias("at"), (F.length("excerpt") > 0) & (F.col("at") > 0)
+    status = F.when(ok, F.lit("verified_exact")).otherwise(F.lit("unverified"))
+
+    def search(block: DataFrame) -> DataFrame:
+        pairs = docs.select("doc_id", "text").crossJoin(F.broadcast(block.select("item_id", "excerpt"))).select("doc_id", "item_id", "excerpt", at)
+        return pairs.select("doc_id", "item_id", F.when(ok, F.col("at") - 1).alias("start"), F.when(ok, F.col("at") - 1 + F.length("excerpt")).alias("end"), status.alias("status"))
+
+    return reduce(DataFrame.unionByName, (search(items.where(F.pmod(F.xxhash64("item_id", "excerpt"), F.lit(blocks)) == k)) for k in range(blocks)))
+
+
 def _lcs_windows(short: str, long: str) -> tuple[float, int, int]:
     """Best normalized Indel similarity (2 LCS / lengths, in percent) of a string with the stretches of another, and the stretch.
 
