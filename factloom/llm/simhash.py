@@ -348,19 +348,35 @@ def groups(docs: DataFrame, n: int = 4, bits: int = 64, radius: int = 4) -> Data
     return fps.join(named, F.col("fp") == F.col("nfp"), "left").select("doc_id", "h", "fp", "component_id")
 
 
+def clusters(fps: DataFrame, bits: int, radius: int) -> DataFrame:
+    """fp, cluster: the clusters of distinct fingerprints over links of `radius` bits or fewer.
+
+    A fingerprint is a node under its own hash, so ids of documents, null or shared, have no part in it.
+    """
+    nodes = materialize(fps.select("fp").distinct().select(F.xxhash64("fp").alias("id"), "fp"), "nodes")
+    found = components(links(nodes, radius, link_masks(bits, radius, nodes.count())))
+    return nodes.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("label", "id").alias("cluster"))
+
+
 def dedup(docs: DataFrame, n: int = 5, bits: int = 256, radius: int = 48) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id, in the columns of docs.
+    """docs with one document of each group in the columns of docs: the one with the smallest id, of equal ids the one
+    with the smallest hash of its text. One with a null id stays where its group has no other.
 
     With five-word shingles and 256 bits, texts of similarity 0.8 differ in about 30 bits and unrelated ones in 128;
-    the radius takes in texts of 0.8 with a margin of two standard deviations. Of rows with one id and one text, one
-    stays; so does one with a null id if its group has no other.
+    the radius takes in texts of 0.8 with a margin of two standard deviations. Of rows with one id and one text, one stays.
     """
-    g = groups(docs, n, bits, radius)
-    keep = g.where("doc_id = component_id or component_id is null").groupBy(F.col("doc_id").alias("kid")).agg(F.min("h").alias("kh"), F.count("*").alias("c"))
-    keep = materialize(keep, "kept")
+    fps = fingerprints(docs, n, bits)
+    named = clusters(fps, bits, radius).withColumnRenamed("fp", "nfp")
+    # Rows with one fingerprint shrink first, so a hot text is one row of its group.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    least = fps.groupBy("fp").agg(F.min(place).alias("p"))
+    least = least.join(named, F.col("fp") == F.col("nfp")).groupBy("cluster").agg(F.min("p").alias("p"))
+    least = least.select(F.col("p.doc_id").alias("kid"), F.col("p.h").alias("kh"))
+    copies = fps.groupBy(F.col("doc_id").alias("cid"), F.col("h").alias("ch")).agg(F.count("*").alias("c"))
+    keep = materialize(least.join(copies, F.col("kid").eqNullSafe(F.col("cid")) & (F.col("kh") == F.col("ch"))).select("kid", "kh", "c"), "kept")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_column()).alias("h"))
     kept = rows.join(keep, F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")))
     if not keep.where("c > 1").limit(1).count():
         return kept.select("row.*")
-    once = kept.where("c > 1").groupBy("id").agg(F.first("row").alias("row"))
+    once = kept.where("c > 1").groupBy("id", "h").agg(F.first("row").alias("row"))
     return kept.where("c = 1").select("row").unionByName(once.select("row")).select("row.*")

@@ -96,6 +96,19 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([*range(30), None, 300], key=str)
 
 
+def test_dedup_keeps_a_document_of_each_group_whatever_its_id(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(120))
+    lone = [text() for _ in range(8)]
+    rows = [(None, t) for t in lone] + [(None, lone[0])] * 3
+    shared = [text(), text()]
+    rows += [(7, t) for t in shared]  # two texts with one id
+    near = text()
+    rows += [(1, near), (9, near), (9, other := text())]  # a text that is near nothing, and its namesake's group
+    got = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", t) for t in lone] + [("7", t) for t in shared] + [("1", near), ("9", other)])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.groups(docs).collect() == []
