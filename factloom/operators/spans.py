@@ -105,16 +105,17 @@ def normal_token(x: Column) -> Column:
 def locate(rows: DataFrame, ratio: float = vocab.TOKEN_RATIO) -> DataFrame:
     """id, start, score, window: the earliest best place of an excerpt's tokens among a page's words.
 
-    A sliding window is an equi-join: words meet excerpt tokens that are equal, each meeting votes for the
-    start it implies, and the earliest start with the most votes wins. Rows without a place are missing.
+    A sliding window is an equi-join within the row: words meet excerpt tokens that are equal, each meeting votes for
+    the start it implies, and the earliest start with the most votes wins. Only votes are shuffled. Rows without a
+    place are missing.
     """
     words = F.filter(F.transform("words", lambda w: normal_token(w["text"])), lambda t: t != "")
     excerpt = F.filter(F.transform(F.split("excerpt", r"(?U)\s+"), normal_token), lambda t: t != "")
     r = rows.select("id", words.alias("w"), excerpt.alias("e")).where((F.size("w") > 0) & (F.size("e") > 0))
     r = r.withColumn("n", F.size("w")).withColumn("window", F.size("e"))
-    page = r.select("id", "n", "window", F.posexplode("w").alias("pp", "token"))
-    ex = r.select("id", F.posexplode("e").alias("ep", "token"))
-    votes = page.join(ex, ["id", "token"]).withColumn("start", F.col("pp") - F.col("ep"))
+    met = F.filter(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("pp"))), lambda x: F.array_contains("e", x["t"]))
+    starts = F.filter(F.transform("e", lambda t, i: F.when(t == F.col("x.t"), F.col("x.pp") - i)), lambda v: v.isNotNull())
+    votes = r.select("id", "n", "window", "e", F.explode(met).alias("x")).select("id", "n", "window", F.explode(starts).alias("start"))
     votes = votes.where((F.col("start") >= 0) & (F.col("start") <= F.greatest(F.col("n") - F.col("window"), F.lit(0)))).groupBy("id", "window", "start").agg(F.count("*").alias("score"))
     best = votes.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "start"))).where("place = 1")
     return best.where(F.col("score") / F.col("window") >= ratio).select("id", "start", F.col("score").cast("int").alias("score"), "window")
