@@ -1,8 +1,8 @@
 """Quality rules on lines that recur across documents of a host.
 
 Normalised lines are hashed, the distinct documents of each line are counted per host, lines above
-the limits are removed, and documents that lose too much are rejected. A few rules on the words
-of a document alone come first.
+the limits are removed, and documents that lose too much are rejected. Documents with equal texts
+count once, so copies don't make a line boilerplate. A few rules on the words of a document alone come first.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of, text_column
+from .common import BROADCAST_BYTES, materialize, rows_of, text_column
 
 SYMBOLS = "#*$%&|<>"
-#: Least documents of a host that a line must recur in, least share of them that aren't copies of each other,
-#: and the share of its words that a document may lose.
-LINE_DOCUMENTS, DISTINCT_SHARE, LOST_SHARE = 100, 0.5, 0.5
+#: A line is boilerplate from so many different documents of a host on, if these are so many percent of the host's
+#: different documents or more; a document is rejected if it loses more than this share of its words.
+LINE_DOCUMENTS, LINE_PERCENT, LOST_SHARE = 10, 1, 0.5
 #: Rules on the document alone.
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 _WHITE = re.compile(r"[\x20\x09-\x0D]")
@@ -73,35 +73,38 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["host"], b["h"], *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "host", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"])
 
 
-def frequent_lines(profile: DataFrame, least: int, distinct: float) -> DataFrame:
-    """host, line of the lines above the limits.
+def frequent_lines(profile: DataFrame, least: int, percent: int) -> DataFrame:
+    """host, line of the lines above the limits: in `least` different documents of the host, and in `percent` of them, at least.
 
-    A document counts by the smallest hash among its other lines, so that copies and near copies of
-    one document, which share all their lines, don't make these lines boilerplate; a line counts
-    as recurring if it has `least` documents and `distinct` of them are different in that sense.
+    Both counts collapse equal texts first; they are summed in two steps, so a line or host that most documents
+    have is counted in all tasks before anything meets.
     """
-    low = F.array_sort("lines")
-    lines = profile.select("host", F.explode("lines").alias("line"), F.get(low, F.lit(0)).alias("a"), F.get(low, F.lit(1)).alias("b"))
-    lines = lines.select("host", "line", F.when(F.col("a") != F.col("line"), F.col("a")).otherwise(F.col("b")).alias("other"))
-    per = lines.groupBy("host", "line", "other").agg(F.count("*").alias("n"))
-    per = per.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_kinds"))
-    return per.where((F.col("n_docs") >= least) & (F.col("n_kinds") >= F.greatest(F.lit(2), F.lit(distinct) * F.col("n_docs"))))
+    lines = profile.select("host", "h", F.explode("lines").alias("line"))
+    per = lines.groupBy("host", "line", "h").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    all_ = profile.groupBy("host", "h").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("th")).agg(F.count("*").alias("total"))
+    per = per.where(F.col("n_docs") >= least).join(all_, F.col("host").eqNullSafe(F.col("th")))
+    return per.where(F.col("n_docs") * 100 >= F.col("total") * percent).select("host", "line", "n_docs")
 
 
-def judge(docs: DataFrame, host: str = "source", least: int = LINE_DOCUMENTS, distinct: float = DISTINCT_SHARE, lost: float = LOST_SHARE) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", least: int = LINE_DOCUMENTS, percent: int = LINE_PERCENT, lost: float = LOST_SHARE) -> DataFrame:
     """One row per document: doc_id, host, h (hash of the text), n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, lost_words, removed (hashes of its removed lines), kept.
 
     Null texts are empty and fail the base rule; a null host is a host of its own. Repeated rows count as
-    copies and get equal verdicts. Other columns are ignored; an empty table gives no rows. Texts
-    pass through Python once; what is shuffled are line hashes, summed per host and line before.
+    one document and get equal verdicts; a line that reaches a limit exactly is above it. Texts of any length are
+    read whole. Other columns are ignored; an empty table gives no rows. Texts pass through Python once; what is
+    shuffled are line hashes, summed per host and line before. The recurring lines are broadcast if their size,
+    checked, is small, else joined, where adaptive execution can split a hot line.
     """
     slim = docs.select("doc_id", F.col(host).cast("string").alias("host"), text_column().alias("text"))
     slim = slim.withColumn("h", F.xxhash64("text")).select("doc_id", "host", "h", "text")
     id_type = slim.schema["doc_id"].dataType.simpleString()
     profile = slim.mapInArrow(_profile, f"doc_id {id_type}, host string, h long, {STATS}, lines array<long>, line_words array<long>")
     profile = materialize(profile.withColumn("row", F.monotonically_increasing_id()), "lines")
-    often = frequent_lines(profile, least, distinct).select(F.col("host").alias("oh"), F.col("line").alias("ol"))
+    often = materialize(frequent_lines(profile, least, percent), "boilerplate")
+    n_bytes = often.agg(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 40)).collect()[0][0] or 0
+    often = often.select(F.col("host").alias("oh"), F.col("line").alias("ol"))
+    often = F.broadcast(often) if n_bytes <= BROADCAST_BYTES else often
     lines = profile.select("row", "host", F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("n"))).alias("x")).select("row", "host", "x.line", "x.n")
     gone = lines.join(often, F.col("host").eqNullSafe(F.col("oh")) & (F.col("line") == F.col("ol")))
     gone = gone.groupBy(F.col("row").alias("r")).agg(F.sum("n").alias("lost_words"), F.collect_set("line").alias("removed"))
@@ -125,7 +128,9 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents that judge() keeps, in the columns of docs, without the removed lines; n_chars, if there, follows.
 
-    Documents meet their verdict by id, host and text hash, so rows with equal ids and different texts stay apart.
+    Documents meet their verdict by id, host and text hash, so rows with equal ids and different texts stay apart;
+    repeated rows all stay or all go. Null and empty texts are rejected. An empty table gives no rows; texts of any
+    length and columns of any name pass through.
     """
     host = limits.get("host", "source")
     verdict = judge(docs, **limits).where("kept").groupBy(F.col("doc_id").alias("vid"), F.col("host").alias("vhost"), F.col("h").alias("vh")).agg(F.max("removed").alias("removed"))

@@ -97,4 +97,34 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.v, 'allow') AS verdict
 FROM split s LEFT JOIN fits f ON s.page_id = f.page_id AND f.k = 1
 """
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op9_url_filter": OP9_SQL}
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+words AS (SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS word, unnest(range(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')))) AS i FROM d),
+sized AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY r),
+trigram AS (
+  SELECT r, i, concat_ws(' ', word, w2, w3) AS g FROM (
+    SELECT r, i, word, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY r ORDER BY i)) x
+  WHERE w3 IS NOT NULL),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM trigram) x WHERE c > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) s(k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+worded AS (
+  SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY r),
+normal AS (SELECT r, lower(array_to_string(ws, ' ')) AS line, sum(len(ws)) AS n FROM worded GROUP BY ALL),
+hosts AS (SELECT source, count(DISTINCT t) AS total FROM d GROUP BY source),
+often AS (
+  SELECT d.source, l.line FROM normal l JOIN d USING (r) JOIN hosts h ON d.source IS NOT DISTINCT FROM h.source
+  GROUP BY d.source, l.line HAVING count(DISTINCT d.t) >= 10 AND 100 * count(DISTINCT d.t) >= max(h.total)),
+lost AS (
+  SELECT r, sum(n) AS n FROM normal l JOIN d USING (r) JOIN often o ON d.source IS NOT DISTINCT FROM o.source AND l.line = o.line GROUP BY r),
+joined AS (
+  SELECT doc_id, CAST(coalesce(s.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(s.word_chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(l.n, 0) AS BIGINT) AS lost_words
+  FROM d LEFT JOIN sized s USING (r) LEFT JOIN dups u USING (r) LEFT JOIN repeats p USING (r) LEFT JOIN lost l USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost_words <= n_words AS kept FROM joined
+"""
+
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_line_quality": OP5_SQL, "op9_url_filter": OP9_SQL}

@@ -120,6 +120,31 @@ def test_line_rules(spark):
     assert after[3] == texts[3].rsplit("\n", 1)[0] and after[26] == texts[26]
 
 
+@pytest.mark.parametrize("shared", [1, 2, 5, 10, 20])
+def test_boilerplate_lines_that_stand_together(spark, shared):
+    rng = random.Random(shared)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    common = [line(6) for _ in range(shared)]
+    texts = ["\n".join(common + [line(25) for _ in range(3)]) for _ in range(120)]
+    texts += ["\n".join(line(15) for _ in range(4))] * 60 + ["\n".join([line(30), line(30)]) for _ in range(9)]  # copies, and lines below the limit
+    rare = line(12)
+    texts[-9:] = [t + "\n" + rare for t in texts[-9:]]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(5)
+    where, total = {}, len(set(texts))
+    for t in set(texts):
+        for x in {" ".join(x.split()).lower() for x in t.split("\n")}:
+            where[x] = where.get(x, 0) + 1
+    often = {x for x, n in where.items() if n >= 10 and 100 * n >= total}
+    for r in line_quality.judge(docs).collect():
+        words = [x.split() for x in texts[r.doc_id].split("\n")]
+        lost = sum(len(w) for w in words if " ".join(w).lower() in often)
+        assert r.lost_words == lost and r.kept == (2 * lost <= r.n_words)
+        assert lost == (6 * shared if r.doc_id < 120 else 0)
+    after = {r.doc_id: r.text for r in line_quality.clean(docs).collect()}
+    assert set(after) == set(range(120 if shared == 20 else 0, len(texts)))
+    assert not any(x in after[i] for i in after for x in common)
+
+
 def test_languages_of_held_out_documents(spark):
     rng = random.Random(8)
     vocabulary = {k: ["".join(rng.choices(a, k=rng.randint(2, 8))) for _ in range(300)] for k, a in {"aa": "abcdefghiß", "bb": "efghijklmnø", "cc": "жзиклмнопр"}.items()}
