@@ -41,7 +41,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = compact_windows.classes(_read(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("passages", lambda p: F.concat_ws("+", p["start"], p["words"])), ",")
-    return found.select("doc_id", "class_id", "n_links", spans.alias("passages"))
+    return found.select("doc_id", "class_id", spans.alias("passages"))
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
