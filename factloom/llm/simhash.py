@@ -1,10 +1,11 @@
 """SimHash near-dedup by a Gray-order hierarchical index.
 
-Distinct fingerprints that agree on a masked bit pattern meet in a bucket. A bucket is sorted by Gray
-rank, so that neighbours share long bit patterns; runs of it become nodes that hold the bits all
-their fingerprints share, and nodes of nodes above them. Going down pairs of nodes, the differences
-among bits shared on both sides add up to a lower bound, and a pair of groups is dropped as soon as
-it exceeds the radius. Each bucket returns a spanning forest of its links, never all its pairs.
+Distinct fingerprints that agree on a masked bit pattern meet in a bucket; patterns have as many bits as leave
+some two thousand fingerprints to a bucket. A bucket is sorted by Gray rank, so that neighbours share long bit
+patterns; runs of it become nodes that hold the bits all their fingerprints share, and nodes of nodes above them.
+Going down pairs of nodes, the differences among bits shared on both sides add up to a lower bound, and a pair of
+groups is dropped as soon as it exceeds the radius. Each bucket returns a spanning forest of its links, the closest
+first, never all its pairs.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, rows_of, text_column
+from .common import BROADCAST_BYTES, WordIds, materialize, mix64, plain_word, rows_of, shingle_hashes, text_column, word_ids
 
-LEAF, FANOUT = 32, 8
-#: Most fingerprints of a bucket that one task holds; larger buckets are joined in pairs of blocks.
-BLOCK = 4096
+LEAF, FANOUT = 8, 8
+#: Fingerprints of a bucket on average, and the most that one task holds; larger buckets are joined in pairs of blocks.
+BUCKET, BLOCK = 2048, 4096
+#: Pairs of leaves that are compared at once.
+PAIRS = 1 << 13
 #: Edges that one task holds.
 CHUNK = 1 << 20
 _BITS = np.array([[b >> (7 - j) & 1 for j in range(8)] for b in range(256)], np.float64)
@@ -59,11 +62,16 @@ def fingerprint(values: np.ndarray, bits: int = 64) -> np.ndarray:
     return out
 
 
-def _fingerprints(n: int, bits: int):
+def _fingerprints(n: int, bits: int, plain: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds(plain_word)
         for b in batches:
-            fps = [fingerprint(shingle_values(t or "", n), bits).astype(">u8").tobytes() for (t,) in rows_of(b, "text")]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(fps, pa.binary())], ["doc_id", "h", "fp"])
+            found, nodes = [], []
+            for (text,) in rows_of(b, "text"):
+                words = word_ids(text, ids) if plain else None
+                found.append(fingerprint(shingle_hashes(words, n) if plain else shingle_values(text, n), bits).astype(">u8").tobytes())
+                nodes.append(xxhash.xxh64_intdigest(words.tobytes() if plain else found[-1]) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "h", "node", "fp"])
 
     return run
 
@@ -75,17 +83,28 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def exact_masks(bits: int, radius: int, parts: int) -> list[np.ndarray]:
-    """Masks of which any two fingerprints within the radius agree on one at least: of `parts` fields, parts - radius are equal."""
+def width(count: int) -> int:
+    """Bits of a pattern that leave BUCKET fingerprints to a bucket."""
+    return max(0, math.ceil(math.log2(max(1, count) / BUCKET)))
+
+
+def exact_masks(bits: int, radius: int, count: int) -> list[np.ndarray]:
+    """Masks of which any two fingerprints within the radius agree on one at least: of `parts` fields, parts - radius are equal.
+    There are as many fields as give the patterns their width, and patterns are cut to it."""
+    if not (wide := width(count)):
+        return [_mask(bits, [])]
+    parts = next(p for p in range(radius + 1, bits + 1) if (p - radius) * (bits // p) >= wide or p == 2 * radius + 2)
     edges = [round(i * bits / parts) for i in range(parts + 1)]
-    return [_mask(bits, [b for p in chosen for b in range(edges[p], edges[p + 1])]) for chosen in itertools.combinations(range(parts), parts - radius)]
+    return [_mask(bits, [b for p in chosen for b in range(edges[p], edges[p + 1])][:wide]) for chosen in itertools.combinations(range(parts), parts - radius)]
 
 
-def random_masks(bits: int, radius: int, width: int, miss: float, seed: int = 1) -> list[np.ndarray]:
-    """Random masks of `width` bits, as many as leave a pair at the radius unmet with probability `miss`."""
-    meet = math.prod((bits - radius - i) / (bits - i) for i in range(width))
+def random_masks(bits: int, distance: float, count: int, miss: float, seed: int = 1) -> list[np.ndarray]:
+    """Random masks, as many as leave a pair at the distance unmet with probability `miss`, whatever the width."""
+    if not (wide := width(count)):
+        return [_mask(bits, [])]
+    meet = math.prod((bits - distance - i) / (bits - i) for i in range(wide))
     rng = np.random.default_rng(seed)
-    return [_mask(bits, rng.choice(bits, width, replace=False)) for _ in range(math.ceil(math.log(miss) / math.log1p(-meet)))]
+    return [_mask(bits, rng.choice(bits, wide, replace=False)) for _ in range(math.ceil(math.log(miss) / math.log1p(-meet)))]
 
 
 def _mask(bits: int, chosen) -> np.ndarray:
@@ -133,24 +152,68 @@ def node_pairs(left: list, right: list, radius: int, same: bool) -> np.ndarray:
     return pairs
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Links that span what is within the radius: of a with itself, or of a and b. Both Gray-sorted; b's places follow a's."""
+def near_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, dropped: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in a and in b (in a, if b is None), both Gray-sorted, and distances of fingerprints within the radius, a part at a time.
+    dropped: gets the number of leaf pairs in all, and of those that the index leaves out."""
     same, other = b is None, a if b is None else b
-    la, lb = levels(a), levels(other)
-    label = np.arange(len(a) + (0 if same else len(b)))
-    off, out = 0 if same else len(a), []
-    for p, q in node_pairs(la, lb if not same else la, radius, same):
-        i = np.arange(p * LEAF, min(len(a), (p + 1) * LEAF))
-        j = np.arange(q * LEAF, min(len(other), (q + 1) * LEAF))
-        if (label[i][0] == label[i]).all() and (label[j + off] == label[i[0]]).all():
+    left = levels(a)
+    right = left if same else levels(other)
+    leaves = node_pairs(left, right, radius, same)
+    if dropped is not None:
+        n, m = len(left[0][0]), len(right[0][0])
+        dropped[0] += n * (n + 1) // 2 if same else n * m
+        dropped[1] += (n * (n + 1) // 2 if same else n * m) - len(leaves)
+    within = np.arange(LEAF)
+    for k in range(0, len(leaves), PAIRS):
+        i = np.broadcast_to((leaves[k : k + PAIRS, :1] * LEAF + within)[:, :, None], (len(leaves[k : k + PAIRS]), LEAF, LEAF)).ravel()
+        j = np.broadcast_to((leaves[k : k + PAIRS, 1:] * LEAF + within)[:, None, :], (len(leaves[k : k + PAIRS]), LEAF, LEAF)).ravel()
+        ok = (i < len(a)) & (j < len(other))
+        if same:
+            ok &= i < j
+        i, j = i[ok], j[ok]
+        apart = np.zeros(len(i), np.uint16)
+        for w in range(a.shape[1]):  # whoever is too far after one word is left out of the next
+            apart += np.bitwise_count(a[i, w] ^ other[j, w])
+            if not (near := apart <= radius).all():
+                i, j, apart = i[near], j[near], apart[near]
+        yield i, j, apart
+
+
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+    """Links that span what is within the radius: of a with itself, or of a and b. Both Gray-sorted; b's places follow a's.
+    They are a minimum spanning forest, so two fingerprints are tied by links that are no longer than their distance."""
+    off = 0 if b is None else len(a)
+    size = len(a) + (0 if b is None else len(b))
+    kept = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint16),)
+    for part in near_pairs(a, b, radius):
+        if not len(part[0]):
             continue
-        near = np.bitwise_count(a[i][:, None, :] ^ other[j][None, :, :]).sum(2, dtype=np.int64) <= radius
-        for x, y in zip(*np.nonzero(near)):
-            u, v = label[i[x]], label[j[y] + off]
-            if u != v:
-                label[label == max(u, v)] = min(u, v)
-                out.append((int(i[x]), int(j[y] + off)))
-    return out
+        i, j, apart = (np.concatenate(x) for x in zip(kept, (part[0], part[1] + off, part[2])))
+        chosen, label = [], np.arange(size)
+        order = np.argsort(apart, kind="stable")
+        for level in np.split(order, np.flatnonzero(np.diff(apart[order])) + 1):
+            level = level[label[i[level]] != label[j[level]]]
+            if not len(level):
+                continue
+            parent: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = x = parent.get(up, up)
+                return x
+
+            for e, u, v in zip(level.tolist(), label[i[level]].tolist(), label[j[level]].tolist()):
+                u, v = top(u), top(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    chosen.append(e)
+            moved = np.arange(size)
+            for x in parent:
+                moved[x] = top(x)
+            label = moved[label]
+        at = np.array(chosen, np.int64)
+        kept = i[at], j[at], apart[at]
+    return list(zip(kept[0].tolist(), kept[1].tolist()))
 
 
 def gray_sorted(fps: np.ndarray) -> np.ndarray:
@@ -177,29 +240,6 @@ def _keyed(masks: list[np.ndarray]):
     return run
 
 
-def _small_links(fp: np.ndarray, bucket: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in many buckets of a leaf or less at once; rows are in order of bucket."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            x = up
-        return x
-
-    out = []
-    for step in range(1, LEAF):
-        i = np.flatnonzero(bucket[step:] == bucket[:-step])
-        if not len(i):
-            break
-        i = i[np.bitwise_count(fp[i] ^ fp[i + step]).sum(1, dtype=np.int64) <= radius]
-        for x in i.tolist():
-            u, v = top(x), top(x + step)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-                out.append((x, x + step))
-    return out
-
-
 def _bucket_links(radius: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by bucket (mask, key, pair of blocks). What is held is the last, incomplete bucket, of two blocks at most."""
@@ -211,11 +251,9 @@ def _bucket_links(radius: int, words: int):
             size = np.diff(np.append(new, len(t)))
             ids, side = t["id"].to_numpy(), t["side"].to_numpy()
             fp = _words(t["fp"].combine_chunks(), words)
-            number = np.repeat(np.arange(len(new)), size)
-            plain = np.bincount(number, side > 0, len(new)) == 0
-            small = np.flatnonzero((plain & (size > 1) & (size <= LEAF))[number])
-            found = [(small[x], small[y]) for x, y in _small_links(fp[small], number[small], radius)] if len(small) else []
-            for k in np.flatnonzero((size > 1) & ~(plain & (size <= LEAF))):
+            plain = np.bincount(np.repeat(np.arange(len(new)), size), side > 0, len(new)) == 0
+            found = []
+            for k in np.flatnonzero(size > 1):
                 at = np.arange(new[k], new[k] + size[k])
                 sides = [at] if plain[k] else [at[side[at] == 1], at[side[at] == 2]]
                 sides = [x[gray_sorted(fp[x])] for x in sides]
@@ -317,60 +355,101 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
         before = after
 
 
-def fingerprints(docs: DataFrame, n: int, bits: int = 64) -> DataFrame:
-    """A written table of doc_id, h (hash of the text), fp; repeated texts are hashed once per row, null texts are empty."""
+def fingerprints(docs: DataFrame, n: int, bits: int = 64, plain: bool = False) -> DataFrame:
+    """A written table of doc_id, h (hash of the text), node (of the fingerprint, or of the words if plain), fp; repeated texts are hashed
+    once per row, null texts are empty. plain: words are taken without what isn't a letter or digit."""
     slim = docs.select("doc_id", text_column().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return materialize(slim.mapInArrow(_fingerprints(n, bits), f"doc_id {kind}, h long, fp binary"), "fingerprints")
-
-
-def link_masks(bits: int, radius: int, count: int) -> list[np.ndarray]:
-    """Exact masks for a radius of up to 4. For a larger one random masks, of a width that follows the number of
-    fingerprints, so that a bucket holds 16 by chance; they miss a pair at two thirds of the radius once in 200."""
-    if radius <= 4:
-        return exact_masks(bits, radius, radius + 2)
-    return random_masks(bits, radius * 2 // 3, max(12, math.ceil(math.log2(count + 2)) - 4), 0.005)
+    return materialize(slim.mapInArrow(_fingerprints(n, bits, plain), f"doc_id {kind}, h long, node long, fp binary"), "fingerprints")
 
 
 def groups(docs: DataFrame, n: int = 4, bits: int = 64, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, h, fp, component_id (the smallest doc_id reachable over links of `radius` bits or fewer).
 
-    Links within 4 bits are all found. Null and empty texts have fingerprint zero and link like others; equal
+    All links within the radius are found. Null and empty texts have fingerprint zero and link like others; equal
     texts share a fingerprint, so a hot text is one node. A null doc_id is grouped but never names a group
-    unless all its ids are null. Other columns are ignored; an empty table gives no rows.
+    unless all its ids are null. Texts of any length are read whole; repeated rows are grouped alike. Other
+    columns are ignored; an empty table gives no rows.
     """
     fps = fingerprints(docs, n, bits)
     # A node is the smallest id of a fingerprint.
     per = fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null")
     nodes = materialize(per.select(F.col("id").cast("long").alias("id"), "fp"), "nodes")
-    found = components(links(nodes, radius, link_masks(bits, radius, nodes.count())))
+    found = components(links(nodes, radius, exact_masks(bits, radius, nodes.count())))
     named = nodes.join(found, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("nfp"), F.coalesce("label", "id").alias("component_id"))
     return fps.join(named, F.col("fp") == F.col("nfp"), "left").select("doc_id", "h", "fp", "component_id")
 
 
-def clusters(fps: DataFrame, bits: int, radius: int) -> DataFrame:
-    """fp, cluster: the clusters of distinct fingerprints over links of `radius` bits or fewer.
+def distance(bits: int, similarity: float) -> tuple[float, float]:
+    """Mean and standard deviation of the bits that differ between texts of the similarity: the angle law, for sets of equal size."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits * share, math.sqrt(bits * share * (1 - share))
 
-    A fingerprint is a node under its own hash, so ids of documents, null or shared, have no part in it.
-    """
-    nodes = materialize(fps.select("fp").distinct().select(F.xxhash64("fp").alias("id"), "fp"), "nodes")
-    found = components(links(nodes, radius, link_masks(bits, radius, nodes.count())))
-    return nodes.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("label", "id").alias("cluster"))
+
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds(plain_word)
+        for b in batches:
+            found = [np.unique(shingle_hashes(word_ids(text, ids), n)).tobytes() for (text,) in rows_of(b, "text")]
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(found, pa.binary())], ["node", "s"])
+
+    return run
 
 
-def dedup(docs: DataFrame, n: int = 5, bits: int = 256, radius: int = 48) -> DataFrame:
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for sa, sb in rows_of(b, "sa", "sb", step=64):
+                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
+                if len(x) < len(y):
+                    x, y = y, x
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(y) else 0
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            at = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([b["a"].take(at), b["b"].take(at)], ["a", "b"])
+
+    return run
+
+
+def clusters(docs: DataFrame, fps: DataFrame, n: int, bits: int, similarity: float, miss: float) -> DataFrame:
+    """node, cluster: the clusters of texts over links of the similarity of n-word shingles, or more.
+
+    Candidates are the spanning forests of fingerprints within three standard deviations of the distance that the
+    similarity gives; each is verified by the exact Jaccard similarity. A text is a node under the hash of its
+    words, so ids of documents, null or shared, have no part in it.
+    """
+    mean, deviation = distance(bits, similarity)
+    nodes = materialize(fps.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp")).select(F.col("node").alias("id"), "h", "fp"), "nodes")
+    masks = random_masks(bits, mean, nodes.count(), miss)
+    edges = links(nodes.select("id", "fp"), math.ceil(mean + 3 * deviation), masks)
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    involved = edges.select(F.explode(F.array("a", "b")).alias("e")).distinct().join(nodes, F.col("e") == F.col("id")).select(F.col("id").alias("node"), F.col("h").alias("nh"))
+    involved = materialize(involved, "candidate-nodes")
+    involved = F.broadcast(involved) if involved.count() * 64 <= BROADCAST_BYTES else involved
+    texts = docs.select(text_column().alias("text")).select(F.xxhash64("text").alias("h"), "text").join(involved, F.col("h") == F.col("nh")).dropDuplicates(["node"])
+    sets = materialize(texts.select("node", "text").mapInArrow(_sets(n), "node long, s binary"), "shingle-sets")
+    left, right = sets.select(F.col("node").alias("n1"), F.col("s").alias("sa")), sets.select(F.col("node").alias("n2"), F.col("s").alias("sb"))
+    both = edges.join(right, F.col("b") == F.col("n2")).join(left, F.col("a") == F.col("n1"))
+    found = components(both.select("a", "b", "sa", "sb").mapInArrow(_alike(similarity), "a long, b long"))
+    return nodes.join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias("member"), F.coalesce("label", "id").alias("cluster"))
+
+
+def dedup(docs: DataFrame, n: int = 5, bits: int = 256, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
     """docs with one document of each group in the columns of docs: the one with the smallest id, of equal ids the one
     with the smallest hash of its text. One with a null id stays where its group has no other.
 
-    With five-word shingles and 256 bits, texts of similarity 0.8 differ in about 30 bits and unrelated ones in 128;
-    the radius takes in texts of 0.8 with a margin of two standard deviations. Of rows with one id and one text, one stays.
+    Words are compared in lower case without punctuation; texts are linked from a Jaccard similarity of 0.8 of their n-word
+    shingles on, and groups are what links connect. Two texts at that similarity are no candidates for each other with a
+    probability of `miss`, by masks, and of 0.0014, by the radius, whatever the size of the table. Texts without a word are
+    one group; of rows with one id and one text, one stays. Texts of any length are read whole; an empty table gives no rows.
     """
-    fps = fingerprints(docs, n, bits)
-    named = clusters(fps, bits, radius).withColumnRenamed("fp", "nfp")
-    # Rows with one fingerprint shrink first, so a hot text is one row of its group.
+    fps = fingerprints(docs, n, bits, True)
+    named = clusters(docs, fps, n, bits, similarity, miss)
+    # Rows with one text shrink first, so a hot text is one row of its group.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    least = fps.groupBy("fp").agg(F.min(place).alias("p"))
-    least = least.join(named, F.col("fp") == F.col("nfp")).groupBy("cluster").agg(F.min("p").alias("p"))
+    least = fps.groupBy("node").agg(F.min(place).alias("p"))
+    least = least.join(named, F.col("node") == F.col("member")).groupBy("cluster").agg(F.min("p").alias("p"))
     least = least.select(F.col("p.doc_id").alias("kid"), F.col("p.h").alias("kh"))
     copies = fps.groupBy(F.col("doc_id").alias("cid"), F.col("h").alias("ch")).agg(F.count("*").alias("c"))
     keep = materialize(least.join(copies, F.col("kid").eqNullSafe(F.col("cid")) & (F.col("kh") == F.col("ch"))).select("kid", "kh", "c"), "kept")

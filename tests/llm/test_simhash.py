@@ -56,22 +56,44 @@ def test_groups_match_brute_force(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_forest_spans_all_links():
+def test_forest_is_a_minimum_one():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, (20, 1), dtype=np.uint64)
     fps = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (20, 1), dtype=np.uint64)) for _ in range(30)]), axis=0)
     fps = fps[simhash.gray_sorted(fps)]
-    label = list(range(len(fps)))
-    for a, b in simhash.forest(fps, None, 4):
-        label = [label[a] if x == label[b] else x for x in label]
+    apart = np.bitwise_count(fps ^ fps.T)
+    found, third = simhash.forest(fps, None, 4), len(fps) // 3
+    split = [(i + third, j + third) for i, j in simhash.forest(fps[third:], None, 4)] + simhash.forest(fps[:third], None, 4) + simhash.forest(fps[:third], fps[third:], 4)
+    for radius in range(5):  # what links up to each length tie is what brute force ties
+        want = _tied(len(fps), zip(*np.nonzero(apart <= radius)))
+        for edges in (found, split):
+            assert _tied(len(fps), [(i, j) for i, j in edges if apart[i, j] <= radius]) == want
+
+
+def _tied(n, edges):
+    label = np.arange(n)
+    for i, j in edges:
+        label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return label.tolist()
+
+
+def test_index_drops_groups_and_no_pair():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (40, 1), dtype=np.uint64)
+    fps = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (40, 1), dtype=np.uint64)) for _ in range(40)] + [rng.integers(0, 2**63, (900, 1), dtype=np.uint64)]), axis=0)
+    fps = fps[simhash.gray_sorted(fps)]
+    count = [0, 0]
+    got = {(int(i), int(j)) for a, b, _ in simhash.near_pairs(fps, None, 4, count) for i, j in zip(a, b)}
     near = np.bitwise_count(fps ^ fps.T) <= 4
-    for a, b in zip(*np.nonzero(near)):
-        assert label[a] == label[b]
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j}
+    assert count[1] > 0.3 * count[0]  # pairs of leaves that were never compared
 
 
-def test_masks_meet_every_pair():
+@pytest.mark.parametrize("count", [100, 10**5, 10**7, 10**9, 10**11])
+def test_masks_meet_every_pair(count):
     rng = np.random.default_rng(1)
-    masks = simhash.exact_masks(64, 4, 6)
+    masks = simhash.exact_masks(64, 4, count)
+    assert all(int(m[0]).bit_count() <= simhash.width(count) for m in masks)
     for _ in range(300):
         diff = 0
         for b in rng.choice(64, 4, replace=False):
@@ -79,6 +101,46 @@ def test_masks_meet_every_pair():
         assert any(diff & int(m[0]) == 0 for m in masks)
 
 
+@pytest.mark.parametrize("count", [10**4, 10**6, 10**9])
+def test_random_masks_miss_alike_at_every_size(count):
+    rng = np.random.default_rng(2)
+    mean, deviation = simhash.distance(256, 0.8)
+    masks = np.array(simhash.random_masks(256, mean, count, 0.01))
+    missed = 0
+    for _ in range(400):
+        bits = np.zeros(256, bool)
+        bits[rng.choice(256, round(mean), replace=False)] = True
+        diff = np.packbits(bits).view(">u8").astype(np.uint64)
+        missed += not ((masks & diff) == 0).all(1).any()
+    assert missed <= 16
+
+
+def test_recall_of_near_texts(spark):
+    """Against brute force: nearly all pairs of 0.8 end in one group, and none below is linked."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for _ in range(150):
+        words = [word() for _ in range(rng.choice([60, 120, 300]))]
+        texts.append(words)
+        for share in (0.01, 0.02, 0.03):
+            texts.append([word() if rng.random() < share else w.capitalize() + rng.choice(["", ","]) for w in words])
+    sets = [simhash.shingle_hashes(simhash.word_ids(" ".join(w), simhash.WordIds(simhash.plain_word)), 5) for w in texts]
+    sets = [set(x.tolist()) for x in sets]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    fps = simhash.fingerprints(docs, 5, 256, True)
+    named = {r.member: r.cluster for r in simhash.clusters(docs, fps, 5, 256, 0.8, 0.01).collect()}
+    cluster = {r.doc_id: named[r.node] for r in fps.collect()}
+    label, near = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i // 4 * 4, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                near.append((i, j))
+                label = [label[j] if x == label[i] else x for x in label]
+    assert len(near) > 300 and sum(cluster[i] == cluster[j] for i, j in near) >= 0.97 * len(near)
+    assert all(label[i] == label[j] for i in range(len(texts)) for j in range(i) if cluster[i] == cluster[j])
+
+
 def test_dedup_keeps_one_of_each_group(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
