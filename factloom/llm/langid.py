@@ -19,7 +19,7 @@ from .common import rows_of, text_column
 BUCKETS = 1 << 15
 #: Expected number of documents per language that the model is fitted on, chosen by a hash of the text, whole texts each.
 SAMPLE = 2000
-SMOOTH, ROUNDS, CANDIDATES = 0.5, 12, 3
+SMOOTH, ROUNDS = 0.5, 12
 #: Bytes of characters without case or letters become a space; bytes over 127 are parts of letters here.
 _FOLD = np.array([b if b > 127 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -93,13 +93,14 @@ def mixture(text: str | None, log_p: np.ndarray) -> np.ndarray | None:
     out = np.zeros(len(log_p))
     best = int(single.argmax())
     out[best] = 1.0
-    if len(log_p) == 1 or len(words) < 4:
+    if len(log_p) == 1:
         return out
     likely = np.maximum(np.exp(word - word.max(0)), 1e-30)
     level = float(word.max(0).sum())
     share, _ = proportions(likely, np.full(len(log_p), 1 / len(log_p)))
-    # Nested sets in order of proportion; each more language must pay for its parameter and for words' dependence.
-    order = [best, *[int(k) for k in np.argsort(-share, kind="stable") if k != best][: CANDIDATES - 1]]
+    # Nested sets in order of proportion; each more language must pay for its parameter and for words' dependence, and the
+    # first that doesn't ends it.
+    order = [best, *[int(k) for k in np.argsort(-share, kind="stable") if k != best]]
     penalty, score = 4 * np.log(len(words)), float(single[best])
     for n in range(2, len(order) + 1):
         chosen = order[:n]
@@ -132,7 +133,8 @@ def predict(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE
     The model is fitted on documents whose crc32(doc_id as text) mod `folds` is not `held`, and the prediction sees the
     text alone. Null texts and texts without a letter are `und` with score 0, as is every text if nothing is
     labelled. A null id is not held out. Of languages with equal proportions the first by code point wins. Repeated
-    rows are predicted alike, and other columns are ignored. Two passes over the texts; no text is shuffled.
+    rows are predicted alike, and other columns are ignored. Texts of any length are read whole, one word by the same rule as
+    many; an empty table gives no rows. Two passes over the texts; no text is shuffled.
     """
     out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
     model = fit(docs.where(~out).select("lang", F.col("text").cast("string").alias("text")), sample)

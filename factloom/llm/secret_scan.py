@@ -2,12 +2,16 @@
 
 Patterns give the base spans. A randomness battery adds more: for each long token of an inferred
 encoding, chi-squared uniformity of the alphabet, the number of runs and the serial correlation are
-tested against uniform random letters; tokens for which randomness is rejected, at a false-discovery
-rate controlled over the whole corpus with weights by length, are structured text and dropped.
+tested against what names put together from words give; tokens that are too random for such a name are
+secrets, at a false-discovery rate controlled over the whole corpus with weights by length.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+import random as rnd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,13 +31,36 @@ ENCODINGS = {
     "HEX": (DIGITS + "ABCDEF", "^[0-9A-F]+$"),
     "base32": (UPPER + "234567", "^[A-Z2-7]+$"),
     "base36": (LOWER + DIGITS, "^[a-z0-9]+$"),
+    "BASE36": (UPPER + DIGITS, "^[A-Z0-9]+$"),
+    "base38": (LOWER + DIGITS + "-_", "^[a-z0-9_-]+$"),
+    "BASE38": (UPPER + DIGITS + "-_", "^[A-Z0-9_-]+$"),
+    "base38+": (LOWER + DIGITS + "+/", "^[a-z0-9+/]+$"),
     "base62": (UPPER + LOWER + DIGITS, "^[A-Za-z0-9]+$"),
     "base64": (UPPER + LOWER + DIGITS + "+/", "^[A-Za-z0-9+/]+$"),
     "base64url": (UPPER + LOWER + DIGITS + "-_", "^[A-Za-z0-9_-]+$"),
 }
-#: Shorter tokens can't be told from text by any of the tests.
+#: Shorter tokens can't be told from names by any of the tests.
 LEAST_CHARS = 20
 TOKEN = r"[A-Za-z0-9+/_-]{%d,}"
+#: Where a run of letters of one kind, or of digits, meets another one; marks end a run for names as for random letters.
+CHANGE = "(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"
+#: Least deviation of the runs test: a change more or less is nothing in a name.
+LEAST_DEVIATION = 0.3
+#: Words that names are put together from, to fit what the tests give for names.
+WORDS = """
+about access account action active address agent archive array author backup base batch benchmark block branch bucket buffer build cache
+call center change channel check client cluster color column commit common config connection content control count create current customer
+data default delete deploy detail device digest display document domain driver editor element email enable engine entry error event example
+export feature field file filter folder format frame function gateway global graph group handler header history host image import index info
+input instance item join kernel key label language layer length level library limit link list load local lock log login machine main manager map
+market master member memory message method metric mobile model module monitor name network node number object offset online option order output
+owner package page panel parent parser path pattern payment platform plugin point policy port prefix primary print process product profile project
+property provider public query queue quick random range record region release remote render report request reset resource response result role
+root route rule sample schedule schema scope screen search section security select sender server service session setting shared simple source
+space stage start state static status storage stream string style submit summary support switch symbol system table target task template test
+text theme thread time title total trace track transfer tree trigger type unique update upload user value vector version video view virtual
+visible warning watch web widget window worker world writer zone
+""".split()
 
 
 def _matches(text: Column, pattern: str, value_group: int = 0, least: int = 0) -> Column:
@@ -58,46 +85,101 @@ def _normal_cdf(z: Column) -> Column:
     return 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
 
 
+def _encoding(token: str) -> str:
+    import re
+
+    return next((name for name, (_, rx) in ENCODINGS.items() if re.match(rx, token)), "base64")
+
+
+def measures(token: str, encoding: str) -> tuple[float, float, float]:
+    """What the tests measure: the chi-squared statistic of the alphabet's letters by its mean for random ones (close
+    to 1 for these), class changes a place, and the serial correlation of the letters' places in the alphabet."""
+    import re
+
+    alphabet, n = ENCODINGS[encoding][0], len(token)
+    pairs = sum(token.count(c) ** 2 for c in alphabet) - sum(c in alphabet for c in token)
+    values = [alphabet.find(c) + 1 for c in token if c in alphabet]
+    mean = sum(values) / n
+    dev = [v - mean for v in values]
+    serial = sum(x * y for x, y in zip(dev, dev[1:])) / max(sum(x * x for x in dev), 1e-9)
+    return pairs * len(alphabet) / (n * (n - 1)), len(re.findall(CHANGE, token)) / (n - 1), serial
+
+
+@functools.cache
+def names_fit() -> dict[str, tuple[float, ...]]:
+    """By encoding: mean and deviation times the root of the length of each measure over names of words and numbers, and the weights of
+    their z in a sum of deviation 1. A fixed rule gives the names, so the fit is the same everywhere; it takes no part of the corpus."""
+    dice, found = rnd.Random(7), {name: [] for name in ENCODINGS}
+    styles = (str.lower, str.upper, str.capitalize, str.capitalize)
+    marks = {"base38": "_-", "BASE38": "_-", "base38+": "/", "base64": "/+", "base64url": "_-"}
+    case = {"base32": str.upper, "HEX": str.upper, "BASE36": str.upper, "BASE38": str.upper, "base36": str.lower, "hex": str.lower, "base38": str.lower, "base38+": str.lower}
+    for name in ENCODINGS:
+        alphabet = set(ENCODINGS[name][0])
+        while len(found[name]) < 1500:
+            style = case.get(name) or dice.choice(styles)
+            mark, parts, size = dice.choice(marks.get(name, " ")).strip(), [], dice.randint(LEAST_CHARS, 44)
+            while sum(map(len, parts)) + len(mark) * len(parts) < size:
+                part = style(dice.choice(WORDS)) if dice.random() < 0.95 else str(dice.randint(0, 999))
+                parts.append("".join(c for c in part if c in alphabet))
+            token = mark.join(x for x in parts if x)
+            if dice.random() < 0.5:
+                token += str(dice.randint(1, 2999))
+            token = "".join(c for c in token if c in alphabet)
+            if len(token) >= LEAST_CHARS and (_encoding(token) == name or name in ("hex", "HEX")):
+                found[name].append((len(token), *measures(token, name)))
+    out = {}
+    for name, rows in found.items():
+        fit = []
+        for k in (1, 2, 3):
+            mean = sum(r[k] for r in rows) / len(rows)
+            fit += [mean, max(LEAST_DEVIATION, math.sqrt(sum(r[0] * (r[k] - mean) ** 2 for r in rows) / len(rows)))]
+        # A test weighs as much as it sets random letters of this encoding apart from names.
+        letters = [(n, *measures("".join(dice.choices(ENCODINGS[name][0], k=n)), name)) for n in range(LEAST_CHARS, 60) for _ in range(10)]
+        weights = [sum(_z(r, fit)[k] / math.sqrt(r[0]) for r in letters) / len(letters) for k in range(3)]
+        total = [sum(w * z for w, z in zip(weights, _z(r, fit))) for r in rows]
+        spread = math.sqrt(sum(x * x for x in total) / len(total))
+        out[name] = (*fit, *(w / spread for w in weights))
+    return out
+
+
+def _z(row: tuple, fit) -> tuple[float, float, float]:
+    root = math.sqrt(row[0])
+    return (fit[0] - row[1]) / fit[1] * root, (row[2] - fit[2]) / fit[3] * root, (fit[4] - row[3]) / fit[5] * root
+
+
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds encoding, n, p_uniform, p_runs, p_serial and Fisher's combined p of a column `token`."""
+    """Adds encoding, n, p_uniform, p_runs, p_serial of a column `token`, and p of all three: the chance that a name of words is as
+    random, or more. Random letters are spread more evenly than a name's, change their kind more often and follow each other less."""
     t = F.col("token")
     encoding = F.coalesce(*[F.when(t.rlike(rx), F.lit(name)) for name, (_, rx) in ENCODINGS.items()], F.lit("base64"))
     d = tokens.withColumn("encoding", encoding).withColumn("n", F.length("token").cast("double"))
     letters = F.create_map(*[F.lit(x) for name, (a, _) in ENCODINGS.items() for x in (name, a)])
     d = d.withColumn("letters", letters[F.col("encoding")]).withColumn("k", F.length("letters").cast("double"))
     n, k = F.col("n"), F.col("k")
-    # Uniformity: Pearson's statistic, with the exact mean and variance of small counts.
+    # Uniformity: Pearson's statistic goes with the number of pairs of equal letters.
     count = lambda i: n - F.length(F.replace(F.col("token"), F.substring(F.col("letters"), i, F.lit(1)), F.lit("")))
-    squares = F.aggregate(F.sequence(F.lit(1), F.length("letters")), F.lit(0.0), lambda acc, i: acc + count(i) * count(i))
-    d = d.withColumn("z_uniform", (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
-    # Values of the letters, and the half of the alphabet that each is in.
+    pairs = F.aggregate(F.sequence(F.lit(1), F.length("letters")), F.lit(0.0), lambda acc, i: acc + count(i) * (count(i) - 1))
+    d = d.withColumn("m_uniform", pairs * k / (n * (n - 1)))
+    d = d.withColumn("m_runs", F.regexp_count("token", F.lit(CHANGE)) / (n - 1))
     values = F.transform(F.split("token", ""), lambda c: F.instr(F.col("letters"), c).cast("double"))
     d = d.withColumn("v", F.filter(values, lambda x: x > 0))
-    halves = F.array_join(F.transform("v", lambda x: F.when(x * 2 > k, F.lit("1")).otherwise(F.lit("0"))), "")
-    d = d.withColumn("half", halves)
-    ones = F.length(F.replace("half", F.lit("0"), F.lit(""))).cast("double")
-    turns = (n - F.length(F.replace("half", F.lit("01"), F.lit("")))) / 2 + (n - F.length(F.replace("half", F.lit("10"), F.lit("")))) / 2
-    mean = 2 * ones * (n - ones) / n + 1
-    var = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-    d = d.withColumn("z_runs", F.abs((turns + 1 - mean) / F.sqrt(var)))
-    d = d.withColumn("z_runs", F.when((ones == 0) | (ones == n), F.lit(8.0)).otherwise(F.col("z_runs")))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    d = d.withColumn("m", total / n)
-    dev = F.transform("v", lambda x: x - F.col("m"))
-    d = d.withColumn("dev", dev)
+    d = d.withColumn("m", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n)
+    d = d.withColumn("dev", F.transform("v", lambda x: x - F.col("m")))
     ss = F.aggregate("dev", F.lit(0.0), lambda a, x: a + x * x)
     lag = F.aggregate(F.zip_with(F.slice("dev", 1, F.size("dev") - 1), F.slice("dev", 2, F.size("dev") - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    d = d.withColumn("z_serial", F.abs(lag / F.greatest(ss, F.lit(1e-9)) + 1 / n) * F.sqrt(n))
-    d = d.withColumn("p_uniform", 1 - _normal_cdf(F.col("z_uniform")))
-    d = d.withColumn("p_runs", 2 * (1 - _normal_cdf(F.col("z_runs")))).withColumn("p_serial", 2 * (1 - _normal_cdf(F.col("z_serial"))))
-    fisher = sum(-2 * F.log(F.greatest(F.col(c), F.lit(1e-16))) for c in ("p_uniform", "p_runs", "p_serial"))
-    # The upper tail of chi-squared with six degrees of freedom, in closed form.
-    d = d.withColumn("x", fisher / 2).withColumn("p", F.exp(-F.col("x")) * (1 + F.col("x") + F.col("x") * F.col("x") / 2))
-    return d.drop("letters", "k", "v", "half", "m", "dev", "x", "z_uniform", "z_runs", "z_serial")
+    d = d.withColumn("m_serial", lag / F.greatest(ss, F.lit(1e-9)))
+    table = F.create_map(*[x for name, fit in names_fit().items() for x in (F.lit(name), F.array(*[F.lit(v) for v in fit]))])
+    d = d.withColumn("fit", table[F.col("encoding")])
+    fit = lambda i: F.element_at("fit", i + 1)
+    d = d.withColumn("z_uniform", (fit(0) - F.col("m_uniform")) / fit(1) * F.sqrt(n)).withColumn("z_runs", (F.col("m_runs") - fit(2)) / fit(3) * F.sqrt(n)).withColumn("z_serial", (fit(4) - F.col("m_serial")) / fit(5) * F.sqrt(n))
+    d = d.withColumn("z", fit(6) * F.col("z_uniform") + fit(7) * F.col("z_runs") + fit(8) * F.col("z_serial"))
+    for name in ("_uniform", "_runs", "_serial", ""):
+        d = d.withColumn(f"p{name}", 1 - _normal_cdf(F.col(f"z{name}")))
+    return d.drop("letters", "k", "v", "m", "dev", "fit", "m_uniform", "m_runs", "m_serial", "z_uniform", "z_runs", "z_serial", "z")
 
 
-def structured_limit(tests: DataFrame, alpha: float, bins: int = 20) -> DataFrame:
-    """One row, `limit`: Benjamini-Hochberg's largest p / weight at which randomness is rejected.
+def discovery_limit(tests: DataFrame, alpha: float, bins: int = 20) -> DataFrame:
+    """One row, `limit`: Benjamini-Hochberg's largest p / weight at which a token is a secret.
 
     Weights grow with length, as longer tokens have more power, and average 1 over all tests. The
     step-up rule needs only counts by quantised p, so a bounded histogram takes the place of a
@@ -118,7 +200,8 @@ def scan(docs: DataFrame, alpha: float = 0.05) -> DataFrame:
 
     rank indexes KINDS; positions are code points, the end exclusive. Null texts are empty and have
     no spans. Documents without a candidate, most of them, skip the battery. Tokens of the battery that
-    overlap a base span add nothing. Repeated rows are scanned alike; other columns are ignored.
+    overlap a base span add nothing. Repeated rows are scanned alike and count once in the corpus-wide rule; other columns are
+    ignored. Texts of any length are read whole; an empty table gives no rows.
     The corpus-wide threshold comes from a table of candidates, which is small beside the texts.
     """
     return _spans(docs.select("doc_id", text_column().alias("text")), alpha)
@@ -138,8 +221,8 @@ def _spans(d: DataFrame, alpha: float) -> DataFrame:
     found = materialize(d.select("doc_id", F.xxhash64("text").alias("h"), F.transform("base", lambda b: F.struct(b["start"], b["rank"], b["end"])).alias("base"), F.col("t").alias("t")), "secrets")
     tests = battery(found.where(F.size("t") > 0).select("doc_id", "h", F.explode("t").alias("t")).select("doc_id", "h", F.col("t.value").alias("token"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).distinct())
     tests = materialize(tests.select("doc_id", "h", "token", "start", "end", "encoding", "n", "p_uniform", "p_runs", "p_serial", "p"), "secret-tests")
-    limit = structured_limit(tests, alpha)
-    random = tests.crossJoin(F.broadcast(limit)).where(F.col("p") * F.col("mean_n") / F.col("n") > F.col("limit"))  # one row
+    limit = discovery_limit(tests, alpha)
+    random = tests.crossJoin(F.broadcast(limit)).where(F.col("p") * F.col("mean_n") / F.col("n") <= F.col("limit"))  # one row
     random = random.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("rh")).agg(F.collect_set(F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"))).alias("extra"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     plain = found.where(F.size("t") == 0).withColumn("extra", none)

@@ -86,6 +86,46 @@ def test_base_secrets_match_brute_force(spark):
     assert after[2] == SECRET[2] and after[1] is None and not any(brute_secrets(t) for t in after.values())
 
 
+def _tokens(rng):
+    new = lambda: "".join(rng.choices("aeiou", k=1) + rng.choices("bcdglmnrst", k=2) + rng.choices("aeio", k=1) + rng.choices("lnrst", k=rng.randint(1, 2)))
+    word = lambda: "".join(rng.choice([new(), "table", "river", "window", "report", "green"]))
+    letters = secret_scan.ENCODINGS["base62"][0]
+    return {
+        "random": ["".join(rng.choices(letters, k=24)) for _ in range(200)],
+        "lower": ["".join(rng.choices(letters[26:], k=32)) for _ in range(200)],
+        "camel": ["".join(word().capitalize() for _ in range(5)) + str(rng.randint(1, 99)) for _ in range(200)],
+        "snake": ["_".join(word() for _ in range(5)) + f"_v{rng.randint(1, 9)}" for _ in range(200)],
+        "path": ["/".join(word() for _ in range(5)) + f"/{rng.randint(1, 99)}" for _ in range(200)],
+        "date": [f"{word()}-2024-{rng.randint(10, 12)}-{rng.randint(10, 28)}-{word()}-final" for _ in range(200)],
+    }
+
+
+def test_battery_tells_random_letters_from_names(spark):
+    kinds = _tokens(random.Random(3))
+    rows = [(f"{k}-{i}", f"see {t} there") for k, ts in kinds.items() for i, t in enumerate(ts)]
+    got = {r.doc_id: r.spans for r in secret_scan.report(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    share = {k: sum(got[f"{k}-{i}"] == f"random:4:{4 + len(t)}" for i, t in enumerate(ts)) / len(ts) for k, ts in kinds.items()}
+    assert share["random"] >= 0.95 and share["lower"] >= 0.95
+    assert all(share[k] <= 0.05 for k in ("camel", "snake", "path", "date"))
+
+
+def test_battery_against_brute_force(spark):
+    tokens = [t for ts in _tokens(random.Random(5)).values() for t in ts[:20]] + ["A1" * 12, "a" * 19 + "1", "0123456789abcdefABCDEF+/_-"]
+    tail = lambda z: 1 - 1 / (1 + math.exp(-1.5976 * (z := max(-8, min(8, z))) - 0.07056 * z**3))
+    tests = secret_scan.battery(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()
+    for r in tests:
+        assert r.encoding == secret_scan._encoding(r.token)
+        fit = secret_scan.names_fit()[r.encoding]
+        z = secret_scan._z((len(r.token), *secret_scan.measures(r.token, r.encoding)), fit)
+        assert (r.p_uniform, r.p_runs, r.p_serial) == pytest.approx(tuple(map(tail, z)), abs=1e-9)
+        assert r.p == pytest.approx(tail(sum(w * x for w, x in zip(fit[6:], z))), abs=1e-9)
+    (row,) = secret_scan.discovery_limit(spark.createDataFrame([(r.p, r.n) for r in tests], "p double, n double"), 0.05).collect()
+    mean = sum(r.n for r in tests) / len(tests)
+    q = sorted(r.p * mean / r.n for r in tests)
+    exact = max((x for i, x in enumerate(q) if x <= 0.05 * (i + 1) / len(q)), default=0.0)
+    assert row.limit <= 0.05 and 0.8 * sum(x <= exact for x in q) <= sum(x <= row.limit for x in q) <= sum(x <= exact for x in q)
+
+
 def brute_stats(text):
     words = WORD.findall(text or "")
     lines = (text or "").split("\n")
@@ -170,6 +210,18 @@ def test_mixture_finds_both_languages():
     assert got == pytest.approx([0.6, 0.4, 0.0], abs=0.03)
 
 
+def test_mixture_of_equal_and_many_languages():
+    rng = random.Random(10)
+    words = [["".join(rng.choices(a, k=6)) for _ in range(150)] for a in ("abcde", "fghij", "klmno", "pqrst", "uvwxy")]
+    counts = np.stack([np.bincount(langid.grams(" ".join(w * 5))[0], minlength=langid.BUCKETS) + 0.5 for w in words])
+    log_p = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    got = langid.mixture(" ".join(x for w in words for x in rng.choices(w, k=40)), log_p)
+    assert got == pytest.approx([0.2] * 5, abs=0.03)  # as many languages as pay for themselves
+    assert int(langid.mixture("abc", np.repeat(log_p[:1], 3, 0)).argmax()) == 0  # equal ones: the first
+    assert int(langid.mixture(words[3][0], log_p).argmax()) == 3  # one word
+    assert langid.mixture(" ".join(words[2] * 1000), log_p)[2] == pytest.approx(1.0, abs=0.01)
+
+
 def test_contamination_matches_brute_force(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
