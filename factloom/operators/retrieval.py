@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.normalize import bound
 from ..functions.text import general, tokens
 
 
@@ -41,7 +42,12 @@ def search(facts: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """
     if not query or not 1 <= limit <= 50:
         raise ValueError("a query has text and a limit from 1 to 50")
-    r = facts.withColumn("relevance", relevance(query_tokens(query))).where("relevance > 0")
+    words = query_tokens(query)
+    # A fact that shares no token has none of them in its texts either; this is cheap beside the token sets.
+    text = F.lower(F.concat_ws(" ", "entity_name", "source_excerpt", "claim_value"))
+    hinted = [k for k, hints in vocab.HINTS.items() if set(hints) & set(words)]
+    r = facts.where(F.coalesce(F.col("claim_type").isin(hinted), F.lit(False)) | (text.rlike("|".join(words)) if words else F.lit(False)))
+    r = r.withColumn("relevance", bound(F.lit(0), lambda _: relevance(words))).where("relevance > 0")
     w = W.partitionBy("deal_id").orderBy(F.desc("relevance"), "ord", "fact_id")
     r = r.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
     shown = display_value(F.col("normalized_value_numeric"), F.col("normalized_value_unit"), F.col("normalized_value_text"))

@@ -3,7 +3,7 @@
 CLAIM_TYPES = ("market_size", "revenue", "team_background", "competitive_positioning", "funding_history", "customer_metrics", "net_irr", "tvpi", "dpi", "fund_size", "vintage_year", "gp_commitment", "other")
 SECTION_TYPES = ("financial_data", "narrative_claim", "legal_boilerplate", "table", "other")
 OPERATORS = ("gte", "lte", "eq", "contains", "in", "exists")
-EVENT_TYPES = ("document_ingested", "chunk_classified", "facts_extracted", "entities_resolved", "deal_scored", "query_answered", "pipeline_error")
+EVENT_TYPES = ("document_ingested", "classification_run", "extraction_run", "entity_resolved", "scoring_run", "query_executed", "pipeline_error")
 MULTIPLIERS = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mm": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9, "t": 1e12, "trillion": 1e12}
 SCALES = {"thousands": 1e3, "millions": 1e6, "billions": 1e9}
 CURRENCY_SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP"}
