@@ -119,22 +119,34 @@ def resolve_entities(records: DataFrame) -> DataFrame:
 
 
 def build_facts(records: DataFrame, pages: DataFrame) -> DataFrame:
-    """Facts of coerced records with normalized values, entity ids and exact spans; records without an excerpt go.
+    """Facts of coerced records with normalized values, entity ids, spans and boxes; records without an excerpt go.
 
-    Scale phrases are found once per page, and pages meet records in one join on (deal, page).
+    Scale phrases are found once per page, and pages meet records in one join on (deal, page). Only excerpts without an exact
+    place on their page are aligned, and only those of pages with words are located among them. `records` is read three
+    times, so it's a written table.
     """
-    from .spans import exact_span
+    from .spans import exact_span, locate_boxes, verify_spans
 
     page = F.coalesce(F.get("source_pages", F.lit(0)), F.lit(1)).alias("source_page")
-    p = pages.select(F.col("deal_id").alias("pd"), F.col("page_number").alias("pn"), F.coalesce("raw_text", F.lit("")).alias("page_text"))
+    p = pages.select(F.col("deal_id").alias("pd"), F.col("page_number").alias("pn"), F.coalesce("raw_text", F.lit("")).alias("page_text"), "words")
     p = p.withColumn("scale", detect_scale(F.col("page_text")))
-    r = records.select("*", page).join(p, (F.col("deal_id") == F.col("pd")) & (F.col("source_page") == F.col("pn")), "left")
-    r = r.withColumn("n", normalize_claim(F.col("claim_value"), F.col("claim_type"), F.col("scale"))).withColumn("s", exact_span(F.col("source_excerpt"), F.coalesce("page_text", F.lit(""))))
-    r = r.where(~is_blank(F.col("source_excerpt")))
+    r = records.select(F.md5(F.concat_ws("|", "deal_id", "chunk_index", "ord")).alias("fact_id"), "*", page).where(~is_blank(F.col("source_excerpt")))
+    r = r.join(p, (F.col("deal_id") == F.col("pd")) & (F.col("source_page") == F.col("pn")), "left")
+    text = F.coalesce("page_text", F.lit(""))
+    r = r.withColumn("n", normalize_claim(F.col("claim_value"), F.col("claim_type"), F.col("scale"))).withColumn("s", exact_span(F.col("source_excerpt"), text))
+    missed = r.where((F.col("s.status") == "unverified") & (text != "")).select(F.col("fact_id").alias("id"), F.col("source_excerpt").alias("excerpt"), text.alias("text"))
+    near = verify_spans(missed).where("status <> 'unverified'").select(F.col("id").alias("sid"), F.struct("start", "end", "status").alias("f"))
+    placed = locate_boxes(r.where(F.size("words") > 0).select(F.col("fact_id").alias("id"), F.col("source_excerpt").alias("excerpt"), "words"))
+    placed = placed.where(F.size("source_bbox") > 0).select(F.col("id").alias("bid"), "source_bbox")
+    r = r.drop("page_text", "words").join(near, F.col("fact_id") == F.col("sid"), "left").join(placed, F.col("fact_id") == F.col("bid"), "left")
+    s = F.coalesce(F.col("f"), F.col("s"))
     return r.select(
-        F.md5(F.concat_ws("|", "deal_id", "chunk_index", "ord")).alias("fact_id"), "deal_id", "chunk_id", F.md5(F.concat_ws("|", "deal_id", match_key(F.col("entity")))).alias("entity_id"), F.col("entity").alias("entity_raw_name"), "claim_type", "claim_subtype_raw", "claim_value",
-        F.col("n.numeric").alias("normalized_value_numeric"), F.col("n.unit").alias("normalized_value_unit"), F.col("n.text").alias("normalized_value_text"), F.col("n.status").alias("normalization_status"),
-        "source_page", "source_excerpt", F.col("s.start").alias("source_char_start"), F.col("s.end").alias("source_char_end"), F.col("s.status").alias("span_verification"), F.lit("sonnet_extraction").alias("extraction_method"), "confidence_score", F.lit(1).alias("document_version"), (F.col("chunk_index") * F.lit(1_000_000).cast("long") + F.col("ord")).alias("ord"),
+        "fact_id", "deal_id", "chunk_id", F.md5(F.concat_ws("|", "deal_id", match_key(F.col("entity")))).alias("entity_id"), F.col("entity").alias("entity_raw_name"),
+        "claim_type", "claim_subtype_raw", "claim_value", F.col("n.numeric").alias("normalized_value_numeric"), F.col("n.unit").alias("normalized_value_unit"),
+        F.col("n.text").alias("normalized_value_text"), F.col("n.status").alias("normalization_status"), "source_page", "source_excerpt",
+        s["start"].alias("source_char_start"), s["end"].alias("source_char_end"), s["status"].alias("span_verification"), "source_bbox",
+        F.lit("sonnet_extraction").alias("extraction_method"), "confidence_score", F.lit(1).alias("document_version"),
+        (F.col("chunk_index") * F.lit(1_000_000).cast("long") + F.col("ord")).alias("ord"),
     )
 
 

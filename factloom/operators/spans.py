@@ -80,9 +80,16 @@ def _lcs_windows(short: str, long: str) -> tuple[float, int, int]:
     return best
 
 
+def _aligned(excerpt: str, text: str) -> tuple[float, int, int]:
+    """Score and stretch of the text. An excerpt longer than the text is searched for the text, all of which is the stretch."""
+    if len(excerpt) <= len(text):
+        return _lcs_windows(excerpt, text)
+    return _lcs_windows(text, excerpt)[0], 0, len(text)
+
+
 def _fuzzy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [_lcs_windows(e, t) if len(e) <= len(t) else (0.0, 0, 0) for e, t in zip(b["excerpt"].to_pylist(), b["text"].to_pylist())]
+        out = [_aligned(e, t) for e, t in zip(b["excerpt"].to_pylist(), b["text"].to_pylist())]
         ok = [s >= vocab.FUZZY_SCORE for s, _, _ in out]
         cols = [pa.array([x[1] if k else None for x, k in zip(out, ok)], pa.int32()), pa.array([x[2] if k else None for x, k in zip(out, ok)], pa.int32()), pa.array(["verified_fuzzy" if k else "unverified" for k in ok])]
         yield pa.RecordBatch.from_arrays([b["id"], *cols], ["id", "start", "end", "status"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 from dataclasses import dataclass
 
 import yaml
@@ -109,7 +110,14 @@ def criteria_frame(spark: SparkSession, mandates: list[dict] | dict) -> DataFram
 
 
 class Store:
-    """Parquet tables under one root. Saves append in the columns of the schema; each is one atomic Spark job."""
+    """Parquet tables under one root.
+
+    A batch writes each of its tables to a folder of its own, and then one row of the table `commits`, which readers go by:
+    a batch that fails halfway is never seen, and running it again doubles nothing. Rows are sorted by deal within files, so
+    that a reader of one deal skips most row groups. One writer at a time is assumed; commits are one small row a batch.
+    """
+
+    COMMIT = "seq long, batch string, tables array<string>, replaces boolean"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -118,25 +126,42 @@ class Store:
         return f"{self.root}/{name}"
 
     def create(self) -> None:
-        """Empty tables where there are none; calling it again changes nothing."""
-        for name, schema in SCHEMAS.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
+        """No commits where there are none; calling it again changes nothing."""
+        self.spark.createDataFrame([], self.COMMIT).write.mode("ignore").parquet(self.path("commits"))
+
+    def _commits(self) -> list:
+        return sorted(self.spark.read.schema(self.COMMIT).parquet(self.path("commits")).collect(), key=lambda r: (r["seq"], r["batch"]))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        batches: list[str] = []
+        for r in self._commits():
+            if name in r["tables"]:
+                batches = [r["batch"]] if r["replaces"] else [*batches, r["batch"]]
+        if not batches:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path(name)}/{x}" for x in batches])
+
+    def write(self, tables: dict[str, DataFrame], replaces: bool = False, batch: str | None = None) -> str:
+        """Tables of a batch, all or none; with `replaces`, in place of what they hold."""
+        batch = batch or uuid.uuid4().hex
+        for name, rows in tables.items():
+            kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
+            columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]
+            out = rows.select(*columns)
+            out = out.sortWithinPartitions("deal_id") if "deal_id" in out.columns else out
+            out.write.mode("overwrite").parquet(f"{self.path(name)}/{batch}")
+        seq = max((r["seq"] for r in self._commits()), default=0) + 1
+        row = self.spark.createDataFrame([(seq, batch, list(tables), replaces)], self.COMMIT)
+        row.coalesce(1).write.mode("append").parquet(self.path("commits"))
+        return batch
 
     def save(self, name: str, rows: DataFrame) -> None:
-        kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]
-        rows.select(*columns).write.mode("append").parquet(self.path(name))
+        self.write({name: rows})
 
     def upsert_criteria(self, rows: DataFrame) -> None:
-        """Mandates of `rows` take the place of stored ones with their ids: written aside, then swapped in."""
+        """Mandates of `rows` take the place of stored ones with their ids; readers see the old ones or the new ones."""
         old = self.read("criteria").join(rows.select("mandate_id").distinct(), "mandate_id", "left_anti")
-        merged = old.select(*rows.columns).unionByName(rows)
-        side = Store(self.spark, f"{self.root}/.staging")
-        merged.write.mode("overwrite").parquet(side.path("criteria"))
-        self.spark.read.schema(SCHEMAS["criteria"]).parquet(side.path("criteria")).write.mode("overwrite").parquet(self.path("criteria"))
+        self.write({"criteria": old.select(*rows.columns).unionByName(rows)}, replaces=True)
 
     def facts(self, deal_id: str) -> DataFrame:
         return self.read("facts").where(F.col("deal_id") == deal_id)

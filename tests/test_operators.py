@@ -1,8 +1,13 @@
+import time
+
 import pytest
-from factloom.operators import chunking, extraction, retrieval, scoring, spans
+from factloom import vocab
+from factloom.operators import chunking, extraction, models, retrieval, scoring, spans
 from factloom.plans.engine import Engine
+from factloom.sources.jdbc import read_table, write_table
+from factloom.sources.sample import sample_pages
 from factloom.sources.schemas import SCHEMAS
-from factloom.sources.store import Store, criteria_frame, load_mandate, scan_documents
+from factloom.sources.store import Settings, Store, criteria_frame, load_mandate, scan_documents
 from factloom.streaming.audit import rollup
 from pyspark.sql import functions as F
 
@@ -129,3 +134,78 @@ def test_entities_come_from_first_variants(spark):
     got = {r.match_key: r for r in extraction.resolve_entities(spark.createDataFrame(rows, "deal_id string, entity string, claim_type string, chunk_index int, ord int")).collect()}
     assert got["acme"].canonical_name == "ACME  inc" and got["acme"].entity_type == "company" and got["acme"].aliases == ["Acme Corp."]
     assert got["unknown"].entity_type == "market"
+
+
+def test_ingest_attaches_boxes_and_near_spans_and_writes_all_events(spark, tmp_path):
+    engine = Engine(Store(spark, str(tmp_path)))
+    engine.store.create()
+    docs = spark.createDataFrame([("sample", "deck.pdf")], "deal_id string, source_path string").withColumn("ingested_at", F.current_timestamp())
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(tier, prompt, cap):
+        asked.add(1)
+        if tier == "cheap":
+            return '{"section_type": "%s", "confidence": 0.7}' % ("legal_boilerplate" if "Confidential" in prompt else "narrative_claim")
+        if "ARR of" not in prompt:
+            return "none"
+        return '[{"entity": "Harbor Logistics", "claim_type": "revenue", "claim_value": "$1.8M", "source_excerpt": "Harbor Logistics reachd ARR of $1.8M", "confidence": 0.9}, {"entity": "Harbor Logistics Inc.", "claim_type": "customer_metrics", "claim_value": "12%", "source_excerpt": "growing 12% MoM"}]'
+
+    engine.ingest(sample_pages(spark), docs, classify=models.classifier(model), extract=models.extractor(model))
+    facts = {r.claim_type: r for r in engine.store.read("facts").collect()}
+    assert facts["revenue"].span_verification == "verified_fuzzy" and facts["customer_metrics"].span_verification == "verified_exact"
+    text = "Harbor Logistics reached ARR of $1.8M and is growing 12% MoM"
+    at = text.index("growing")
+    assert [(b.x0, b.top, b.x1, b.bottom) for b in facts["customer_metrics"].source_bbox] == [(40.0 + 6 * at - 2 * text[:at].count(" "), 50.0, 40.0 + 6 * len(text) - 2 * text.count(" "), 62.0)]
+    assert facts["revenue"].source_bbox[0].x0 == 40.0 and facts["revenue"].entity_id == facts["customer_metrics"].entity_id
+    chunks = engine.store.read("chunks")
+    assert asked.value == chunks.count() + chunks.where("section_type <> 'legal_boilerplate'").count()  # once each
+    engine.score(criteria_frame(spark, MANDATE))
+    engine.query("sample", "revenue")
+    with pytest.raises(Exception, match="broken"):
+        engine.ingest(sample_pages(spark, "other"), docs, resolve=lambda records: records.select(F.raise_error(F.lit("broken"))))
+    kinds = {r.event_type for r in engine.store.read("audit_log").select("event_type").distinct().collect()}
+    assert kinds == set(vocab.EVENT_TYPES)
+    assert engine.store.read("chunks").where("deal_id = 'other'").isEmpty()  # a batch is seen whole or not at all
+    found = engine.store.read("audit_log").where("event_type = 'extraction_run'").collect()
+    assert {r.output_payload for r in found} == {'{"facts_extracted":0}', '{"facts_extracted":2}'} and all(r.root_event_id == r.event_id for r in found)
+
+
+def test_sample_deck_by_rules(spark, tmp_path):
+    engine = Engine(Store(spark, str(tmp_path)))
+    engine.store.create()
+    out = engine.ingest(sample_pages(spark))
+    assert out.chunks.count() == 11 and engine.store.read("facts").where("size(source_bbox) > 0 and span_verification = 'verified_exact'").count() == out.facts.count() >= 6
+
+
+def test_model_calls_retry_and_stop(spark):
+    seen, pauses = [], []
+
+    def flaky(tier, prompt, cap):
+        seen.append((tier, cap))
+        if len(seen) < 3:
+            raise OSError("busy")
+        return "ok"
+
+    assert models.call(flaky, "cheap", "x", Settings(), pauses.append)[0] == "ok"
+    assert seen == [("cheap", 1024)] * 3 and pauses == [1, 2]
+    with pytest.raises(models.ModelError, match="failed 2 times"):
+        models.call(lambda *_: time.sleep(5), "capable", "x", Settings(timeout_s=0.05, attempts=2), pauses.append)
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(i, f"n{i}", [i, i + 1]) for i in range(20)], "id long, name string, parts array<long>")
+    write_table(rows, url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    back = read_table(spark, url, "things", "id", (0, 20), 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert back.rdd.getNumPartitions() == 4 and sorted((r.id, r.name, r.parts) for r in back.collect())[3] == (3, "n3", "[3,4]")
+
+
+def test_settings_come_from_the_environment(monkeypatch):
+    monkeypatch.setenv("FACTLOOM_ATTEMPTS", "5")
+    assert Settings.from_environment() == Settings(attempts=5)
+
+
+def test_fuzzy_spans_of_excerpts_longer_than_the_text(spark):
+    rows = [("long", "ARR reached four million dollars", "ARR reached fuor million dolars"), ("no", "nothing of the kind stands here", "xyz")]
+    got = {r.id: r for r in spans.verify_spans(spark.createDataFrame(rows, "id string, excerpt string, text string")).collect()}
+    assert (got["long"].status, got["long"].start, got["long"].end) == ("verified_fuzzy", 0, 31) and got["no"].status == "unverified"
