@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a private one only where the cluster names none."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. A private one takes its place only where the
+    driver is the only executor; on a cluster without the setting it's an error, as executors can't see each other's disks."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[[^,]*(,[0-9]+)?\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")

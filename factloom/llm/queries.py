@@ -127,4 +127,24 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost_words <= n_words AS kept FROM joined
 """
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_line_quality": OP5_SQL, "op9_url_filter": OP9_SQL}
+OP3_SQL = r"""
+WITH hashed AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY h) AS keeper FROM hashed)
+SELECT page_id, url, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM coded
+"""
+
+_SHINGLES = r"""list_filter(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g')), lambda x: x <> '') AS w"""
+_OF_WORDS = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END"
+OP8_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, unnest({_OF_WORDS}) AS s FROM (SELECT doc_id, {_SHINGLES} FROM documents WHERE text IS NOT NULL) x),
+b AS (SELECT DISTINCT item_id, unnest({_OF_WORDS}) AS s FROM (SELECT item_id, {_SHINGLES} FROM benchmark WHERE text IS NOT NULL) x),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1)
+SELECT doc_id, item_id, CAST(count(*) AS DOUBLE) / max(n.n) AS containment FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING CAST(count(*) AS DOUBLE) / max(n.n) >= 0.8 - 1e-9
+"""
+
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op5_line_quality": OP5_SQL, "op8_contamination": OP8_SQL, "op9_url_filter": OP9_SQL}
