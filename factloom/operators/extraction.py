@@ -128,7 +128,8 @@ def build_facts(records: DataFrame, pages: DataFrame) -> DataFrame:
     from .spans import exact_span, locate_boxes, verify_spans
 
     page = F.coalesce(F.get("source_pages", F.lit(0)), F.lit(1)).alias("source_page")
-    p = pages.select(F.col("deal_id").alias("pd"), F.col("page_number").alias("pn"), F.coalesce("raw_text", F.lit("")).alias("page_text"), "words")
+    words = F.col("words") if "words" in pages.columns else F.lit(None).cast("array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>")
+    p = pages.select(F.col("deal_id").alias("pd"), F.col("page_number").alias("pn"), F.coalesce("raw_text", F.lit("")).alias("page_text"), words.alias("words"))
     p = p.withColumn("scale", detect_scale(F.col("page_text")))
     r = records.select(F.md5(F.concat_ws("|", "deal_id", "chunk_index", "ord")).alias("fact_id"), "*", page).where(~is_blank(F.col("source_excerpt")))
     r = r.join(p, (F.col("deal_id") == F.col("pd")) & (F.col("source_page") == F.col("pn")), "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.normalize import bound
+from ..sources.store import checkpoint_dir
 from ..functions.text import general, tokens
 
 
@@ -91,13 +92,23 @@ def chain(events: DataFrame, root: str) -> DataFrame:
     return events.where(F.col("root_event_id") == root)
 
 
-def true_roots(events: DataFrame, most: int = 100) -> DataFrame:
-    """event_id, origin: the event at the top of each chain of parents, by doubling the known steps in each round."""
-    up = events.select("event_id", F.coalesce("parent_event_id", "event_id").alias("origin"))
-    for _ in range(most.bit_length()):
-        step = up.select(F.col("event_id").alias("o"), F.col("origin").alias("next"))
-        up = up.join(step, F.col("origin") == F.col("o"), "left").select("event_id", F.coalesce("next", "origin").alias("origin"))
-    return up
+def true_roots(events: DataFrame) -> DataFrame:
+    """event_id, origin: the event at the top of each chain of parents, of any length.
+
+    Each round doubles the steps that are known and is written to the checkpoint folder; the round in which nothing moves is
+    the last, so a chain of n takes log2 n of them. A parent that isn't there is the top. Rings never end, so they are an error.
+    """
+    checkpoint_dir(events.sparkSession)
+    up = events.select("event_id", F.coalesce("parent_event_id", "event_id").alias("origin")).checkpoint()
+    for _ in range(63):
+        step = up.select(F.col("event_id").alias("o"), F.col("origin").alias("next")).where("o <> next")
+        new = up.join(step, F.col("origin") == F.col("o"), "left").select("event_id", F.coalesce("next", "origin").alias("origin"), F.col("next").isNotNull().alias("moved")).checkpoint()
+        if new.where("moved").isEmpty():
+            return new.select("event_id", "origin")
+        if not new.where("moved and event_id = origin").isEmpty():
+            raise ValueError("a chain of parents is a ring")
+        up = new.select("event_id", "origin")
+    raise ValueError("a chain of parents is a ring")
 
 
 def run_counters(pages: DataFrame, chunks: DataFrame, facts: DataFrame, entities: DataFrame) -> DataFrame:

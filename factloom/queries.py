@@ -12,7 +12,7 @@ from . import vocab
 from .functions import normalize as N
 from .functions import text as T
 from .operators import chunking, extraction, retrieval, scoring, spans
-from .sources.store import criteria_frame, latest_scores
+from .sources.store import criteria_frame, latest_scores, page_count
 from .streaming.audit import rollup
 
 MANDATE = {
@@ -342,26 +342,79 @@ _add("extractable", lambda s, d: chunking.extractable(chunking.classify(_cued(s,
 
 
 def rendered(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with sentences that the offline extractor knows, one per customer."""
+    """Chunks with sentences that the offline extractor knows, one per customer; some lines are longer than an excerpt."""
     c = _read(spark, d, "customer")
     k, bal = F.col("c_custkey"), F.floor(F.abs("c_acctbal")).cast("string")
-    lines = [F.concat(F.lit("Acme"), F.when(k % 2 == 0, F.lit(" Labs")).otherwise(F.lit(" Partners")), F.lit(" reports")), F.concat(F.lit("ARR of $"), bal, F.lit("K, and revenue of $"), (k % 90).cast("string"), F.lit(".5M.")), F.concat(F.lit("  A team of "), (k % 50).cast("string"), F.lit(" serves "), (k % 900).cast("string"), F.lit(" paying customers, growing "), (k % 30).cast("string"), F.lit("% MoM"))]
-    tail = F.when(k % 3 == 0, F.lit("\nA B2B SaaS firm headquartered in the United States")).otherwise(F.lit(""))
-    return c.select(k.cast("string").alias("deal_id"), F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), F.lit(0).alias("chunk_index"), F.array(F.lit(1)).alias("source_pages"), F.concat(F.concat_ws("\n", *lines), tail).alias("content"))
+    company = F.concat(F.lit("Acme"), F.when(k % 2 == 0, F.lit(" Labs")).otherwise(F.lit(" Partners")), F.lit(" reports"))
+    sales = F.concat(F.lit("ARR of $"), bal, F.lit("K, and revenue of $"), (k % 90).cast("string"), F.lit(".5M."))
+    team = F.concat(F.lit("  A team of "), (k % 50).cast("string"), F.lit(" serves "), (k % 900).cast("string"), F.lit(" paying customers, growing "), (k % 30).cast("string"), F.lit("% MoM"))
+    team = F.concat(team, F.when(k % 11 == 0, F.concat(F.lit(" "), F.repeat(F.lit("x"), 600))).otherwise(F.lit("")))
+    market = F.when(k % 4 == 0, F.concat(F.lit("The TAM of ports is $"), (k % 40).cast("string"), F.lit("B")))
+    raised = F.when(k % 5 == 0, F.concat(F.lit("It raised $"), (k % 9).cast("string"), F.lit(".5M in seed")))
+    cues = F.when(k % 3 == 0, F.lit("A B2B SaaS firm headquartered in the United States"))
+    return c.select(k.cast("string").alias("deal_id"), F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), F.lit(0).alias("chunk_index"), F.array(F.lit(1)).alias("source_pages"), F.concat_ws("\n", company, sales, team, market, raised, cues).alias("content"))
+
+
+#: lines: what rendered() makes, by line; records: what the rules find in it, with the line they stand on.
+_RECORDS = """c AS (SELECT c_custkey AS k, CAST(floor(abs(c_acctbal)) AS BIGINT) AS bal, CASE WHEN c_custkey % 2 = 0 THEN 'Acme Labs' ELSE 'the company' END AS who FROM customer),
+lines AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'Acme Labs reports' ELSE 'Acme Partners reports' END AS l1, 'ARR of $' || bal || 'K, and revenue of $' || (k % 90) || '.5M.' AS l2,
+  'A team of ' || (k % 50) || ' serves ' || (k % 900) || ' paying customers, growing ' || (k % 30) || '% MoM' || CASE WHEN k % 11 = 0 THEN ' ' || repeat('x', 600) ELSE '' END AS l3,
+  CASE WHEN k % 4 = 0 THEN 'The TAM of ports is $' || (k % 40) || 'B' END AS l4, CASE WHEN k % 5 = 0 THEN 'It raised $' || (k % 9) || '.5M in seed' END AS l5,
+  CASE WHEN k % 3 = 0 THEN 'A B2B SaaS firm headquartered in the United States' END AS l6 FROM c),
+pages AS (SELECT *, concat_ws(chr(10), l1, l2, '  ' || l3, l4, l5, l6) AS content, 3 AS i4, 3 + CASE WHEN l4 IS NULL THEN 0 ELSE 1 END AS i5 FROM lines),
+found AS (SELECT k, 0 AS rule, who, 'revenue' AS t, 'ARR' AS s, '$' || bal || 'K' AS v, l2 AS e, 1 AS line, 0.88 AS f FROM pages UNION ALL SELECT k, 1, who, 'revenue', NULL, '$' || (k % 90) || '.5M', l2, 1, 0.88 FROM pages
+UNION ALL SELECT k, 2, 'global logistics market', 'market_size', 'TAM', '$' || (k % 40) || 'B', l4, i4, 0.88 FROM pages WHERE l4 IS NOT NULL
+UNION ALL SELECT k, 3, who, 'funding_history', NULL, '$' || (k % 9) || '.5M', l5, i5, 0.88 FROM pages WHERE l5 IS NOT NULL
+UNION ALL SELECT k, 4, who, 'customer_metrics', 'customer_count', CAST(k % 900 AS VARCHAR), l3, 2, 0.88 FROM pages UNION ALL SELECT k, 5, who, 'customer_metrics', 'growth_rate', (k % 30) || '%', l3, 2, 0.88 FROM pages
+UNION ALL SELECT k, 6, who, 'team_background', 'team_size', CAST(k % 50 AS VARCHAR), l3, 2, 0.88 FROM pages
+UNION ALL SELECT k, 7, who, 'competitive_positioning', NULL, 'B2B SaaS platform', l6, i5 + CASE WHEN l5 IS NULL THEN 0 ELSE 1 END, 0.9 FROM pages WHERE l6 IS NOT NULL
+UNION ALL SELECT k, 8, who, 'other', 'geography', 'Headquartered in the United States', l6, i5 + CASE WHEN l5 IS NULL THEN 0 ELSE 1 END, 0.85 FROM pages WHERE l6 IS NOT NULL),
+records AS (SELECT *, substr(e, 1, 500) AS excerpt, row_number() OVER (PARTITION BY k ORDER BY rule) - 1 AS o FROM found)"""
 
 
 def extract_rules(spark: SparkSession, d: str) -> DataFrame:
     return extraction.extract_by_rules(rendered(spark, d)).select("deal_id", "ord", "entity", "claim_type", "claim_subtype_raw", "claim_value", "source_excerpt", F.col("confidence").cast("double").alias("confidence"))
 
 
-_add("extract_rules", extract_rules, """WITH c AS (SELECT c_custkey AS k, CAST(floor(abs(c_acctbal)) AS BIGINT) AS bal, CASE WHEN c_custkey % 2 = 0 THEN 'Acme Labs' ELSE 'the company' END AS who FROM customer),
-l AS (SELECT *, 'ARR of $' || bal || 'K, and revenue of $' || (k % 90) || '.5M.' AS l2, 'A team of ' || (k % 50) || ' serves ' || (k % 900) || ' paying customers, growing ' || (k % 30) || '% MoM' AS l3 FROM c),
-r AS (SELECT k, 0 AS o, who, 'revenue' AS t, 'ARR' AS s, '$' || bal || 'K' AS v, l2 AS e, 0.88 AS f FROM l UNION ALL SELECT k, 1, who, 'revenue', NULL, '$' || (k % 90) || '.5M', l2, 0.88 FROM l
-UNION ALL SELECT k, 2, who, 'customer_metrics', 'customer_count', CAST(k % 900 AS VARCHAR), l3, 0.88 FROM l UNION ALL SELECT k, 3, who, 'customer_metrics', 'growth_rate', (k % 30) || '%', l3, 0.88 FROM l
-UNION ALL SELECT k, 4, who, 'team_background', 'team_size', CAST(k % 50 AS VARCHAR), l3, 0.88 FROM l
-UNION ALL SELECT k, 5, who, 'competitive_positioning', NULL, 'B2B SaaS platform', 'A B2B SaaS firm headquartered in the United States', 0.9 FROM l WHERE k % 3 = 0
-UNION ALL SELECT k, 6, who, 'other', 'geography', 'Headquartered in the United States', 'A B2B SaaS firm headquartered in the United States', 0.85 FROM l WHERE k % 3 = 0)
-SELECT CAST(k AS VARCHAR) AS deal_id, CAST(o AS INTEGER) AS ord, who AS entity, t AS claim_type, s AS claim_subtype_raw, v AS claim_value, e AS source_excerpt, CAST(f AS DOUBLE) AS confidence FROM r""")
+_add("extract_rules", extract_rules, f"WITH {_RECORDS} SELECT CAST(k AS VARCHAR) AS deal_id, CAST(o AS INTEGER) AS ord, who AS entity, t AS claim_type, s AS claim_subtype_raw, v AS claim_value, excerpt AS source_excerpt, CAST(f AS DOUBLE) AS confidence FROM records")
+
+
+def rendered_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks as pages with words on a grid, a line of text to a row of it."""
+    words = F.transform(F.split("content", "\n"), lambda line, i: F.transform(F.filter(F.split(line, " "), lambda w: w != ""), lambda w, j: F.struct(w.alias("text"), (j * 50).cast("double").alias("x0"), (j * 50 + 40).cast("double").alias("x1"), (i * 20).cast("double").alias("top"), (i * 20 + 12).cast("double").alias("bottom"))))
+    return rendered(spark, d).select("deal_id", F.lit(1).alias("page_number"), F.col("content").alias("raw_text"), F.array().cast("array<array<array<string>>>").alias("tables"), F.flatten(words).alias("words"))
+
+
+def ingest_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of all pages with the names of their entities, spans and boxes."""
+    from .plans.engine import run_pipeline
+
+    out = run_pipeline(rendered_pages(spark, d))
+    f = extraction.attach_entities(out.facts, out.entities)
+    return f.select("deal_id", F.col("ord").cast("int").alias("ord"), "entity_name", "claim_type", F.col("normalized_value_numeric").alias("num"), F.col("normalized_value_unit").alias("unit"), F.col("source_char_start").alias("span_start"), F.col("source_char_end").alias("span_end"), "span_verification", F.to_json("source_bbox").alias("box"))
+
+
+def _ingest_sql() -> str:
+    num, unit, _, _ = _dispatch_sql("v", "t")
+    return f"""WITH {_RECORDS}, placed AS (SELECT r.*, strpos(p.content, r.excerpt) AS place, len(string_split(r.excerpt, ' ')) AS n FROM records r JOIN pages p USING (k)),
+valued AS (SELECT *, {num} AS num, {unit} AS unit0 FROM placed)
+SELECT CAST(k AS VARCHAR) AS deal_id, CAST(o AS INTEGER) AS ord, who AS entity_name, t AS claim_type, num, CASE WHEN num IS NOT NULL THEN unit0 END AS unit, CAST(place - 1 AS INTEGER) AS span_start, CAST(place - 1 + length(excerpt) AS INTEGER) AS span_end,
+  'verified_exact' AS span_verification, '[{{"x0":0.0,"top":' || (line * 20) || '.0,"x1":' || (n * 50 - 10) || '.0,"bottom":' || (line * 20 + 12) || '.0}}]' AS box FROM valued"""
+
+
+_add("ingest_facts", ingest_facts, _ingest_sql())
+
+
+def classify_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A model's answers, good and malformed, as labels."""
+    k = F.col("p_partkey")
+    forms = [F.lit('x {"section_type": " Table ", "confidence": 3} y'), F.lit('{"section_type": "nope"}'), F.lit("[1]"), F.concat(F.lit('{"section_type": "financial_data", "confidence": 0.'), (k % 10).cast("string"), F.lit("}")), F.lit("")]
+    answer = F.element_at(F.array(*forms), (k % 5 + 1).cast("int"))
+    return _read(spark, d, "part").select("p_partkey", chunking.parse_classification(answer).alias("c")).select("p_partkey", "c.section_type", "c.confidence")
+
+
+_add("classify_answers", classify_answers, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'table' WHEN 3 THEN 'financial_data' ELSE 'other' END AS section_type, CASE p_partkey % 5 WHEN 0 THEN 1.0 WHEN 3 THEN CAST('0.' || (p_partkey % 10) AS DOUBLE) ELSE 0 END::DOUBLE AS confidence FROM part")
+_add("page_count", lambda s, d: page_count(_read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("deal_id"))), "SELECT CAST(o_custkey AS VARCHAR) AS deal_id, CAST(count(*) AS INTEGER) AS page_count FROM orders GROUP BY 1")
 
 
 def extract_json(spark: SparkSession, d: str) -> DataFrame:
@@ -399,13 +452,13 @@ _add("entity_alias", lambda s, d: extraction.resolve_entities(variants(s, d)).se
 
 
 def span_exact(spark: SparkSession, d: str) -> DataFrame:
-    """All test items against all documents. The SQL below still has only the pairs with doc_id % 40 = item_id % 40."""
+    """All test items against all documents."""
     b = _read(spark, d, "benchmark").select("item_id", F.col("text").alias("excerpt"))
     pairs = spans.exact_pairs(_read(spark, d, "documents").select("doc_id", "text"), b)
     return pairs.select("doc_id", "item_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "status")
 
 
-_add("span_exact", span_exact, "SELECT doc_id, item_id, CAST(CASE WHEN p > 0 THEN p - 1 END AS INTEGER) AS span_start, CAST(CASE WHEN p > 0 THEN p - 1 + length(e) END AS INTEGER) AS span_end, CASE WHEN p > 0 THEN 'verified_exact' ELSE 'unverified' END AS status FROM (SELECT doc_id, item_id, b.text AS e, strpos(d.text, b.text) AS p FROM documents d JOIN benchmark b ON doc_id % 40 = item_id % 40)")
+_add("span_exact", span_exact, "SELECT doc_id, item_id, CAST(CASE WHEN p > 0 THEN p - 1 END AS INTEGER) AS span_start, CAST(CASE WHEN p > 0 THEN p - 1 + length(e) END AS INTEGER) AS span_end, CASE WHEN p > 0 THEN 'verified_exact' ELSE 'unverified' END AS status FROM (SELECT doc_id, item_id, b.text AS e, strpos(d.text, b.text) AS p FROM documents d CROSS JOIN benchmark b)")
 
 
 def span_fuzzy(spark: SparkSession, d: str) -> DataFrame:
@@ -420,10 +473,7 @@ _add("span_fuzzy", span_fuzzy)
 
 
 def laid_out(spark: SparkSession, d: str) -> DataFrame:
-    """All words of all documents on a grid of ten a line, with an excerpt from any place of the text.
-
-    The SQL below still has the first two hundred words of documents of sixty or more, and excerpts from words 11 to 52.
-    """
+    """All words of all documents on a grid of ten a line, with an excerpt from any place of the text."""
     docs = _read(spark, d, "documents").select("doc_id", F.split("text", r"\s+").alias("w"))
     words = F.transform("w", lambda t, i: F.struct(t.alias("text"), ((i % 10) * 50).cast("double").alias("x0"), ((i % 10) * 50 + 40).cast("double").alias("x1"), (F.floor(i / 10) * 20).cast("double").alias("top"), (F.floor(i / 10) * 20 + 12).cast("double").alias("bottom")))
     at = F.pmod(F.col("doc_id") * 7919, F.greatest(F.size("w") - 11, F.lit(1))) + 1
@@ -431,14 +481,17 @@ def laid_out(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.col("doc_id").cast("string").alias("id"), words.alias("words"), excerpt.alias("excerpt"))
 
 
-_add("bbox_locate", lambda s, d: spans.locate(laid_out(s, d)).select("id", "start", "score", "window"), r"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, regexp_split_to_array(text, '\s+')[1:200] AS w FROM documents), k AS (SELECT * FROM d WHERE len(w) >= 60),
-x AS (SELECT id, w, string_split(array_to_string(w[11 + doc_id % 30 : 22 + doc_id % 30], ' ') || CASE WHEN doc_id % 4 = 0 THEN ' extra words at the end' ELSE '' END, ' ') AS e FROM k),
-n AS (SELECT id, list_filter(list_transform(w, lambda t: regexp_replace(lower(t), '[^a-z0-9]', '', 'g')), lambda t: t <> '') AS w, list_filter(list_transform(e, lambda t: regexp_replace(lower(t), '[^a-z0-9]', '', 'g')), lambda t: t <> '') AS e FROM x),
-p AS (SELECT id, len(w) AS n, len(e) AS m, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS pp FROM n), q AS (SELECT id, unnest(e) AS t, generate_subscripts(e, 1) - 1 AS ep FROM n),
+_LOCATED = r"""d AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents), y AS (SELECT *, CAST(doc_id * 7919 % greatest(len(w) - 11, 1) + 1 AS BIGINT) AS place FROM d),
+x AS (SELECT id, w, string_split(array_to_string(w[place : place + 11], ' ') || CASE WHEN doc_id % 4 = 0 THEN ' extra words at the end' ELSE '' END, ' ') AS e FROM y),
+n AS (SELECT id, list_filter(list_transform(w, lambda t, i: {'t': regexp_replace(lower(t), '[^a-z0-9]', '', 'g'), 'i': i - 1}), lambda t: t.t <> '') AS w, list_filter(list_transform(e, lambda t: regexp_replace(lower(t), '[^a-z0-9]', '', 'g')), lambda t: t <> '') AS e FROM x),
+p AS (SELECT id, len(w) AS n, len(e) AS m, unnest(w).t AS t, unnest(w).i AS i, generate_subscripts(w, 1) - 1 AS pp FROM n), q AS (SELECT id, unnest(e) AS t, generate_subscripts(e, 1) - 1 AS ep FROM n),
 v AS (SELECT p.id, m, pp - ep AS s, count(*) AS score FROM p JOIN q ON p.id = q.id AND p.t = q.t WHERE pp - ep BETWEEN 0 AND greatest(n - m, 0) GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, s) AS k FROM v)
-SELECT id, CAST(s AS INTEGER) AS start, CAST(score AS INTEGER) AS score, CAST(m AS INTEGER) AS window FROM r WHERE k = 1 AND score / m >= 0.6""")
-_add("bbox_boxes", lambda s, d: spans.locate_boxes(laid_out(s, d)).select("id", F.size("source_bbox").alias("lines"), F.to_json("source_bbox").alias("boxes")))
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, s) AS k FROM v),
+located AS (SELECT id, CAST(s AS INTEGER) AS start, CAST(score AS INTEGER) AS score, CAST(m AS INTEGER) AS window FROM r WHERE k = 1 AND score / m >= 0.6)"""
+_add("bbox_locate", lambda s, d: spans.locate(laid_out(s, d)).select("id", "start", "score", "window"), f"WITH {_LOCATED} SELECT * FROM located")
+_add("bbox_boxes", lambda s, d: spans.locate_boxes(laid_out(s, d)).where("source_bbox is not null").select("id", F.size("source_bbox").alias("lines"), F.to_json("source_bbox").alias("boxes")), f"""WITH {_LOCATED},
+line AS (SELECT p.id, p.i // 10 AS y, min(p.i % 10) AS a, max(p.i % 10) AS b FROM p JOIN located l ON p.id = l.id AND p.pp >= l.start AND p.pp < l.start + l.window GROUP BY 1, 2)
+SELECT id, CAST(count(*) AS INTEGER) AS lines, '[' || string_agg('{{"x0":' || (a * 50) || '.0,"top":' || (y * 20) || '.0,"x1":' || (b * 50 + 40) || '.0,"bottom":' || (y * 20 + 12) || '.0}}', ',' ORDER BY y) || ']' AS boxes FROM line GROUP BY id""")
 
 # --- conflicts, audit, integrity ------------------------------------------------------
 
@@ -455,9 +508,15 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.audit_events(rows).withColumn("estimated_cost_usd", retrieval.cost(F.col("model_id"), F.col("token_count_input"), F.col("token_count_output")))
 
 
+def chained(spark: SparkSession, d: str) -> DataFrame:
+    """Events in chains of two hundred, each hanging on the one before."""
+    i = F.col("event_id")
+    return _read(spark, d, "events").select(i.cast("string").alias("event_id"), F.when(i % 200 > 0, (i - 1).cast("string")).alias("parent_event_id"))
+
+
 _AUDIT = "a AS (SELECT *, CASE event_id % 3 WHEN 0 THEN (tin * 1.0 + tout * 5.0) / 1e6 WHEN 1 THEN (tin * 3.0 + tout * 15.0) / 1e6 ELSE 0 END AS cost FROM (SELECT *, (length(event_type) + length(props)) // 4 AS tin, event_id % 50 AS tout, CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN event_id - 1 ELSE event_id - 2 END AS root FROM events))"
 _add("audit_rollup", lambda s, d: audit(s, d).groupBy("root_event_id").agg(F.count("*").alias("n"), F.round(F.sum("estimated_cost_usd"), 9).alias("cost")), f"WITH {_AUDIT} SELECT CAST(root AS VARCHAR) AS root_event_id, count(*) AS n, round(CAST(sum(cost) AS DOUBLE), 9) AS cost FROM a GROUP BY 1")
-_add("audit_chain", lambda s, d: retrieval.true_roots(audit(s, d), 4), f"WITH {_AUDIT} SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(CASE WHEN root IN (SELECT event_id FROM events) THEN root ELSE root END AS VARCHAR) AS origin FROM a")
+_add("audit_chain", lambda s, d: retrieval.true_roots(chained(s, d)), "WITH RECURSIVE up AS (SELECT event_id AS e, event_id AS o FROM events UNION ALL SELECT e, o - 1 FROM up WHERE o % 200 > 0) SELECT CAST(e AS VARCHAR) AS event_id, CAST(min(o) AS VARCHAR) AS origin FROM up GROUP BY e")
 _add("audit_cost", lambda s, d: retrieval.cost_totals(audit(s, d)).select("deal_id", F.round("cost_usd", 9).alias("cost_usd")), f"WITH {_AUDIT} SELECT CAST(user_id % 97 AS VARCHAR) AS deal_id, round(CAST(sum(cost) AS DOUBLE), 9) AS cost_usd FROM a GROUP BY 1")
 _add("audit_windows", lambda s, d: rollup(audit(s, d)).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 _add("dedup_hash", lambda s, d: extraction.latest_first(_read(s, d, "documents").select(F.col("doc_id").alias("deal_id"), F.sha2("text", 256).alias("file_hash"), F.timestamp_seconds("doc_id").alias("ingested_at"))).select("deal_id", "file_hash"), "SELECT max(doc_id) AS deal_id, sha256(text) AS file_hash FROM documents GROUP BY sha256(text)")
@@ -467,13 +526,12 @@ _add("integrity_anti", lambda s, d: _read(s, d, "orders").select("o_orderkey").j
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
     from .plans.engine import run_pipeline
 
-    c = rendered(spark, d)
-    pages = c.select("deal_id", F.lit(1).alias("page_number"), F.col("content").alias("raw_text"), F.array().cast("array<array<array<string>>>").alias("tables"))
+    pages = rendered_pages(spark, d)
     out = run_pipeline(pages)
     return retrieval.run_counters(pages, out.chunks, out.facts, out.entities)
 
 
-_add("run_counters", run_counters, "SELECT CAST(c_custkey AS VARCHAR) AS deal_id, 1 AS pages, 1 AS chunks, 5 + CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS facts, 1 AS entities FROM customer")
+_add("run_counters", run_counters, f"WITH {_RECORDS} SELECT CAST(k AS VARCHAR) AS deal_id, 1 AS pages, 1 AS chunks, count(*) AS facts, count(DISTINCT who) AS entities FROM records GROUP BY k")
 
 SQL["display_value"] = f"WITH {_facts_sql()} SELECT fact_id, CASE WHEN num IS NOT NULL THEN rtrim(printf('%g', num) || ' ' || coalesce(unit, '')) ELSE txt END AS shown FROM facts"
 

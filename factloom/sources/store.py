@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -16,6 +17,17 @@ from .. import vocab
 from .schemas import SCHEMAS
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; one of its own only where none is set and the driver is the only executor."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="factloom-"))
+    return context.getCheckpointDir()
+
+
 @dataclass(frozen=True)
 class Settings:
     """Where tables are, and the limits of model calls."""
