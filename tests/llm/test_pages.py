@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import random
+import time
 
 from factloom.llm import html_template, urlfilter, warc
+from pyspark.sql import functions as F
 
 PAGES = "page_id long, url string, html string, host string"
 
@@ -69,6 +71,68 @@ def test_main_text_of_a_host(spark):
     assert got[90].text == got[91].text == "" and got[92].text == "Only this text"
 
 
+def test_names_decide_only_where_no_article_stands():
+    main = html_template.main_text
+    assert main('<div class="layout has-sidebar"><article><h1>T</h1><p>Hello body</p></article></div>') == "T Hello body"
+    assert main('<article><div class="entry-header"><h1>Head</h1></div><p class="legal">Terms</p><p><label>By</label> me</p></article>') == "Head Terms By me"
+    assert main('<div class="sidebar-layout"><p>' + "word " * 50 + '</p></div><div class="sidebar">Side</div>') == ("word " * 50).strip()
+    assert main("<ul><li><a href=a>A</a></li><li><a>B</a></li></ul><p>Text <a>link</a></p><p><a>alone</a></p>") == "Text link alone"
+    assert main('<article><p>a</p><div class="ad">x</div><div id="comments"><p>c</p></div><form>f</form><footer>g</footer></article>') == "a"
+    assert main("<header><h1>Site</h1></header><main><header><h1>Title</h1></header>x &amp; y</main>") == "Title x & y"
+
+
+def test_pages_of_any_length_take_time_in_proportion():
+    for tag in ("<b>", "<p><div>", "<li><span>", "</x><i>"):
+        began = time.time()
+        assert html_template.main_text(tag * 100_000 + "end") == "end"
+        assert time.time() - began < 4
+
+
+def brute_template(pages):
+    """Tokens of classes of two or more with equal counts on the same pages, on three fifths of them or more, that nest."""
+    counts = []
+    for page in pages:
+        seen = {}
+        for k, h in enumerate(html_template.Page(page).hashes()):
+            if h is not None:
+                seen.setdefault(h, []).append(k)
+        counts.append(seen)
+    classes = {}
+    for token in set().union(*counts):
+        vector = tuple(len(c.get(token, ())) for c in counts)
+        on = [c[token][0] for c in counts if token in c]
+        if len(on) >= max(0.6 * len(pages), 1.8):
+            classes.setdefault(vector, []).append((sum(on) / len(on), token))
+    valid, out = [], set()
+    for found in sorted((x for x in classes.values() if len(x) > 1), key=lambda x: (-len(x), min(x))):
+        places = [p for p, _ in found]
+        between = lambda inner, outer: len({sum(x <= y for x in outer) for y in (min(inner), max(inner))}) == 1
+        if all(between(places, v) or between(v, places) for v in valid):
+            valid.append(places)
+            out |= {t for _, t in found}
+    return out
+
+
+def test_templates_match_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    notice, bar = text(60), text(4)  # a long text that stands on most pages is template, too
+    pages = []
+    for i in range(30):
+        bits = [f"<p>{text(rng.randint(5, 40))}</p>" for _ in range(rng.randint(1, 4))]
+        extra = f"<div><p>{bar}</p><span>{bar}</span></div>" if i % 4 else ""
+        pages.append(f"<div><b>{bar}</b></div>{extra}<section>{''.join(bits)}</section><div><p>{notice}</p></div>")
+    rows = [(i, f"http://one.org/{i}", p, "c") for i, p in enumerate(pages)] + [(100 + i, f"http://one.org/copy{i}", pages[0], "c") for i in range(60)]
+    rows += [(200 + i, f"http://few.org/{i}", f"<p>{text(9)}</p><p>{bar}</p>", "c") for i in range(2)] + [(300 + i, f"http://same.org/{i}", pages[1], "c") for i in range(20)]
+    docs = spark.createDataFrame(rows, PAGES).repartition(4)
+    known = docs.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), F.xxhash64("html").alias("h"), "html")
+    got = {r.host: html_template.nested([(t["c"], t["at"], t["token"]) for t in r.template]) for r in html_template.templates(known).collect()}
+    assert set(got) == {"one.org"} and got["one.org"] == brute_template(pages)  # copies count once; two pages or one make no template
+    texts = {r.page_id: r.text for r in html_template.extract(docs).collect()}
+    assert all(texts[i] and notice not in texts[i] and (i % 4 or bar not in texts[i]) for i in range(30)) and texts[300].startswith(bar) and bar in texts[200]
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], PAGES)
     for out in (html_template.extract(pages), warc.read(warc.write(pages)), urlfilter.judge(pages)):
