@@ -426,7 +426,7 @@ def clusters(docs: DataFrame, fps: DataFrame, n: int, bits: int, similarity: flo
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     involved = edges.select(F.explode(F.array("a", "b")).alias("e")).distinct().join(nodes, F.col("e") == F.col("id")).select(F.col("id").alias("node"), F.col("h").alias("nh"))
     involved = materialize(involved, "candidate-nodes")
-    involved = F.broadcast(involved) if involved.count() * 64 <= BROADCAST_BYTES else involved
+    involved = F.broadcast(involved) if involved.count() * 160 <= BROADCAST_BYTES else involved
     texts = docs.select(text_column().alias("text")).select(F.xxhash64("text").alias("h"), "text").join(involved, F.col("h") == F.col("nh")).dropDuplicates(["node"])
     sets = materialize(texts.select("node", "text").mapInArrow(_sets(n), "node long, s binary"), "shingle-sets")
     left, right = sets.select(F.col("node").alias("n1"), F.col("s").alias("sa")), sets.select(F.col("node").alias("n2"), F.col("s").alias("sb"))
@@ -435,7 +435,7 @@ def clusters(docs: DataFrame, fps: DataFrame, n: int, bits: int, similarity: flo
     return nodes.join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias("member"), F.coalesce("label", "id").alias("cluster"))
 
 
-def dedup(docs: DataFrame, n: int = 5, bits: int = 256, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
+def dedup(docs: DataFrame, n: int = 5, bits: int = 256, similarity: float = 0.8, miss: float = 0.003) -> DataFrame:
     """docs with one document of each group in the columns of docs: the one with the smallest id, of equal ids the one
     with the smallest hash of its text. One with a null id stays where its group has no other.
 
