@@ -12,7 +12,7 @@ from . import vocab
 from .functions import normalize as N
 from .functions import text as T
 from .operators import chunking, extraction, retrieval, scoring, spans
-from .sources.store import criteria_frame, latest_scores, page_count
+from .sources.store import checkpoint_dir, criteria_frame, latest_scores, page_count
 from .streaming.audit import rollup
 
 MANDATE = {
@@ -385,11 +385,17 @@ def rendered_pages(spark: SparkSession, d: str) -> DataFrame:
     return rendered(spark, d).select("deal_id", F.lit(1).alias("page_number"), F.col("content").alias("raw_text"), F.array().cast("array<array<array<string>>>").alias("tables"), F.flatten(words).alias("words"))
 
 
-def ingest_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of all pages with the names of their entities, spans and boxes."""
+def _ingested(pages: DataFrame):
+    """The ingest pipeline with its stages in the checkpoint folder."""
     from .plans.engine import run_pipeline
 
-    out = run_pipeline(rendered_pages(spark, d))
+    checkpoint_dir(pages.sparkSession)
+    return run_pipeline(pages, written=lambda _, rows: rows.checkpoint())
+
+
+def ingest_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of all pages with the names of their entities, spans and boxes."""
+    out = _ingested(rendered_pages(spark, d))
     f = extraction.attach_entities(out.facts, out.entities)
     return f.select("deal_id", F.col("ord").cast("int").alias("ord"), "entity_name", "claim_type", F.col("normalized_value_numeric").alias("num"), F.col("normalized_value_unit").alias("unit"), F.col("source_char_start").alias("span_start"), F.col("source_char_end").alias("span_end"), "span_verification", F.to_json("source_bbox").alias("box"))
 
@@ -524,10 +530,8 @@ _add("integrity_anti", lambda s, d: _read(s, d, "orders").select("o_orderkey").j
 
 
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
-    from .plans.engine import run_pipeline
-
     pages = rendered_pages(spark, d)
-    out = run_pipeline(pages)
+    out = _ingested(pages)
     return retrieval.run_counters(pages, out.chunks, out.facts, out.entities)
 
 
