@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.normalize import bound
 
 #: Most bytes of excerpts that are broadcast at once.
 BLOCK_BYTES = 8 << 20
@@ -25,22 +26,47 @@ def exact_span(excerpt: Column, text: Column) -> Column:
     return F.struct(F.when(ok, at - 1).alias("start"), F.when(ok, at - 1 + F.length(excerpt)).alias("end"), F.when(ok, F.lit("verified_exact")).otherwise(F.lit("unverified")).alias("status"))
 
 
+def _grams(words: Column) -> Column:
+    """Hashes of three words in a row; the words are bound, as a lambda would split the text again for each."""
+    hashed = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return bound(words, lambda w: F.when(F.size(w) >= 3, hashed(w)))
+
+
 def exact_pairs(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, start, end, status of every pair of documents (doc_id, text) and items (item_id, excerpt), as exact_span() has them.
 
-    Items are broadcast in blocks bounded in bytes; documents are read once per block and never shuffled.
+    Words of an excerpt but its first and last are words of any text that holds it. So excerpts of five words or more meet texts by
+    the hash of their second to fourth word, and only these texts are searched; shorter excerpts are searched in all texts.
+    What is broadcast comes in blocks bounded in bytes.
     """
-    n_bytes = items.agg(F.sum(F.octet_length("excerpt") + 64)).first()[0] or 0
-    blocks = max(1, math.ceil(n_bytes / block_bytes))
-    # The search is the costly part: a column of its own is computed once a pair.
-    at, ok = F.instr(F.col("text"), F.col("excerpt")).alias("at"), (F.length("excerpt") > 0) & (F.col("at") > 0)
-    status = F.when(ok, F.lit("verified_exact")).otherwise(F.lit("unverified"))
-
-    def search(block: DataFrame) -> DataFrame:
-        pairs = docs.select("doc_id", "text").crossJoin(F.broadcast(block.select("item_id", "excerpt"))).select("doc_id", "item_id", "excerpt", at)
-        return pairs.select("doc_id", "item_id", F.when(ok, F.col("at") - 1).alias("start"), F.when(ok, F.col("at") - 1 + F.length("excerpt")).alias("end"), status.alias("status"))
-
-    return reduce(DataFrame.unionByName, (search(items.where(F.pmod(F.xxhash64("item_id", "excerpt"), F.lit(blocks)) == k)) for k in range(blocks)))
+    white = r"[\x20\x09-\x0D]+"
+    it = items.select("item_id", "excerpt", F.xxhash64("excerpt").alias("eh"), F.split("excerpt", white).alias("w"))
+    long = F.coalesce(F.size("w") >= 5, F.lit(False))
+    sizes = it.agg(F.sum(F.when(~long, F.octet_length("excerpt") + 64)), F.count_if(long)).first()
+    status = F.when(F.col("at") > 0, F.lit("verified_exact")).otherwise(F.lit("unverified"))
+    span = [F.when(F.col("at") > 0, F.col("at") - 1).alias("start"), F.when(F.col("at") > 0, F.col("at") - 1 + F.col("n")).alias("end"), status.alias("status")]
+
+    def block(rows: DataFrame, n_bytes: int) -> list[DataFrame]:
+        blocks = max(1, math.ceil(n_bytes / block_bytes))
+        return [rows.where(F.pmod(F.col("eh"), F.lit(blocks)) == k) for k in range(blocks)]
+
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    grams = d.select("doc_id", "h", F.explode(F.array_distinct(_grams(F.split("text", white)))).alias("gram"))
+    keyed = it.where(long).select("eh", "excerpt", F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("key")).distinct()
+    met = reduce(DataFrame.unionByName, (grams.join(F.broadcast(x.select("eh", "key")), F.col("gram") == F.col("key")) for x in block(keyed, 32 * sizes[1])))
+    met = met.select(F.col("doc_id").alias("md"), F.col("h").alias("mh"), "eh").distinct().join(keyed.select(F.col("eh").alias("ke"), "excerpt"), F.col("eh") == F.col("ke"))
+    same = F.col("doc_id").eqNullSafe(F.col("md")) & (F.col("h") == F.col("mh"))
+    found = d.join(met, same).select("doc_id", "h", "eh", F.instr(F.col("text"), F.col("excerpt")).alias("at")).where("at > 0").distinct()
+    # A document's own places, by excerpt, come with it; pairs are made of ids alone.
+    found = found.groupBy(F.col("doc_id").alias("md"), F.col("h").alias("mh")).agg(F.map_from_entries(F.collect_list(F.struct("eh", "at"))).alias("places"))
+    base = d.select("doc_id", "h").join(found, same, "left").select("doc_id", "places")
+    ids = it.where(long).select("item_id", "eh", F.length("excerpt").alias("n"))
+    out = [base.crossJoin(F.broadcast(x)).select("doc_id", "item_id", "n", F.try_element_at("places", F.col("eh")).alias("at")) for x in block(ids, 32 * sizes[1])]
+    for x in block(it.where(~long), sizes[0] or 0) if sizes[0] is not None else []:
+        pairs = d.crossJoin(F.broadcast(x.select("item_id", "excerpt")))
+        at = F.when((F.length("excerpt") > 0), F.instr(F.col("text"), F.col("excerpt")))
+        out.append(pairs.select("doc_id", "item_id", F.length("excerpt").alias("n"), at.alias("at")))
+    return reduce(DataFrame.unionByName, out).select("doc_id", "item_id", *span)
 
 
 def _lcs_windows(short: str, long: str) -> tuple[float, int, int]:

@@ -209,3 +209,18 @@ def test_fuzzy_spans_of_excerpts_longer_than_the_text(spark):
     rows = [("long", "ARR reached four million dollars", "ARR reached fuor million dolars"), ("no", "nothing of the kind stands here", "xyz")]
     got = {r.id: r for r in spans.verify_spans(spark.createDataFrame(rows, "id string, excerpt string, text string")).collect()}
     assert (got["long"].status, got["long"].start, got["long"].end) == ("verified_fuzzy", 0, 31) and got["no"].status == "unverified"
+
+
+def test_exact_pairs_match_a_plain_search(spark):
+    texts = ["one two three four five six seven", "x one two\tthree  four five", "", None, "one two three four fiver and on", "five four three two one", "é one two three\nfour five é"]
+    items = ["one two three four five", "ne two three four fiv", "two three", "", None, "two\tthree  four five", " two three four five six ", "three\nfour five é", "a b c d e"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[1]), (None, texts[0])], "doc_id long, text string")
+    rows = spark.createDataFrame([(i, e) for i, e in enumerate(items)] + [(0, items[1])], "item_id long, excerpt string")
+    for size in (8 << 20, 40):
+        got = sorted(((r.doc_id, r.item_id, r.start, r.end, r.status) for r in spans.exact_pairs(docs, rows, size).collect()), key=str)
+        want = []
+        for d, t in [*enumerate(texts), (0, texts[1]), (None, texts[0])]:
+            for i, e in [*enumerate(items), (0, items[1])]:
+                at = t.find(e) if t and e else -1
+                want.append((d, i, *((at, at + len(e), "verified_exact") if at >= 0 else (None, None, "unverified"))))
+        assert got == sorted(want, key=str)
