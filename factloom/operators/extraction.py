@@ -121,25 +121,26 @@ def resolve_entities(records: DataFrame) -> DataFrame:
 def build_facts(records: DataFrame, pages: DataFrame) -> DataFrame:
     """Facts of coerced records with normalized values, entity ids, spans and boxes; records without an excerpt go.
 
-    Scale phrases are found once per page, and pages meet records in one join on (deal, page). Only excerpts without an exact
+    Scale phrases and tokens of words are found once per page, and pages meet records in one join on (deal, page). Only excerpts without an exact
     place on their page are aligned, and only those of pages with words are located among them. `records` is read three
-    times, so it's a written table.
+    times, so it's a written table. Sizes of texts and words are unknown to the planner, which would broadcast pages of
+    any number by its guess; so all joins are shuffled.
     """
-    from .spans import exact_span, locate_boxes, verify_spans
+    from .spans import exact_span, locate_boxes, named_words, tokens_of, verify_spans
 
     page = F.coalesce(F.get("source_pages", F.lit(0)), F.lit(1)).alias("source_page")
     words = F.col("words") if "words" in pages.columns else F.lit(None).cast("array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>")
-    p = pages.select(F.col("deal_id").alias("pd"), F.col("page_number").alias("pn"), F.coalesce("raw_text", F.lit("")).alias("page_text"), words.alias("words"))
-    p = p.withColumn("scale", detect_scale(F.col("page_text")))
+    p = pages.select(F.col("deal_id").alias("pd"), F.col("page_number").alias("pn"), F.coalesce("raw_text", F.lit("")).alias("page_text"), named_words(words).alias("words"))
+    p = p.withColumn("scale", detect_scale(F.col("page_text"))).withColumn("tokens", tokens_of(F.col("words")))
     r = records.select(F.md5(F.concat_ws("|", "deal_id", "chunk_index", "ord")).alias("fact_id"), "*", page).where(~is_blank(F.col("source_excerpt")))
-    r = r.join(p, (F.col("deal_id") == F.col("pd")) & (F.col("source_page") == F.col("pn")), "left")
+    r = r.join(p.hint("merge"), (F.col("deal_id") == F.col("pd")) & (F.col("source_page") == F.col("pn")), "left")
     text = F.coalesce("page_text", F.lit(""))
     r = r.withColumn("n", normalize_claim(F.col("claim_value"), F.col("claim_type"), F.col("scale"))).withColumn("s", exact_span(F.col("source_excerpt"), text))
     missed = r.where((F.col("s.status") == "unverified") & (text != "")).select(F.col("fact_id").alias("id"), F.col("source_excerpt").alias("excerpt"), text.alias("text"))
     near = verify_spans(missed).where("status <> 'unverified'").select(F.col("id").alias("sid"), F.struct("start", "end", "status").alias("f"))
-    placed = locate_boxes(r.where(F.size("words") > 0).select(F.col("fact_id").alias("id"), F.col("source_excerpt").alias("excerpt"), "words"))
+    placed = locate_boxes(r.where(F.size("words") > 0).select(F.col("fact_id").alias("id"), F.col("source_excerpt").alias("excerpt"), "words", "tokens"))
     placed = placed.where(F.size("source_bbox") > 0).select(F.col("id").alias("bid"), "source_bbox")
-    r = r.drop("page_text", "words").join(near, F.col("fact_id") == F.col("sid"), "left").join(placed, F.col("fact_id") == F.col("bid"), "left")
+    r = r.drop("page_text", "words", "tokens").join(near.hint("merge"), F.col("fact_id") == F.col("sid"), "left").join(placed.hint("merge"), F.col("fact_id") == F.col("bid"), "left")
     s = F.coalesce(F.col("f"), F.col("s"))
     return r.select(
         "fact_id", "deal_id", "chunk_id", F.md5(F.concat_ws("|", "deal_id", match_key(F.col("entity")))).alias("entity_id"), F.col("entity").alias("entity_raw_name"),

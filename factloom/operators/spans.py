@@ -135,14 +135,23 @@ def normal_token(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
 
 
+def named_words(words: Column) -> Column:
+    """The words that have a token."""
+    return F.filter(words, lambda w: normal_token(w["text"]) != "")
+
+
+def tokens_of(words: Column) -> Column:
+    return F.filter(F.transform(words, lambda w: normal_token(w["text"])), lambda t: t != "")
+
+
 def locate(rows: DataFrame, ratio: float = vocab.TOKEN_RATIO) -> DataFrame:
     """id, start, score, window: the earliest best place of an excerpt's tokens among a page's words.
 
     A sliding window is an equi-join within the row: words meet excerpt tokens that are equal, each meeting votes for
     the start it implies, and the earliest start with the most votes wins. Only votes are shuffled. Rows without a
-    place are missing.
+    place are missing. Rows that have the `tokens` of their words already bring them.
     """
-    words = F.filter(F.transform("words", lambda w: normal_token(w["text"])), lambda t: t != "")
+    words = F.col("tokens") if "tokens" in rows.columns else tokens_of(F.col("words"))
     excerpt = F.filter(F.transform(F.split("excerpt", r"(?U)\s+"), normal_token), lambda t: t != "")
     r = rows.select("id", words.alias("w"), excerpt.alias("e")).where((F.size("w") > 0) & (F.size("e") > 0))
     r = r.withColumn("n", F.size("w")).withColumn("window", F.size("e"))
@@ -173,8 +182,8 @@ def boxes(words: Column, tolerance: float = vocab.LINE_TOLERANCE) -> Column:
 
 
 def locate_boxes(rows: DataFrame) -> DataFrame:
-    """id, source_bbox of rows of id, excerpt, words; null where the excerpt has no place."""
-    kept = F.filter("words", lambda w: normal_token(w["text"]) != "")
-    placed = rows.join(locate(rows), "id", "left")
+    """id, source_bbox of rows of id, excerpt, words; null where the excerpt has no place. With `tokens`, words are those that have one."""
+    kept = F.col("words") if "tokens" in rows.columns else named_words(F.col("words"))
+    placed = rows.join(locate(rows).hint("merge"), "id", "left")  # places are as many as rows, whatever the planner takes them for
     found = boxes(F.slice(kept, F.col("start") + 1, F.col("window")))
     return placed.select("id", F.when(F.col("start").isNotNull(), found).alias("source_bbox"))

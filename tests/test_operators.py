@@ -224,3 +224,12 @@ def test_exact_pairs_match_a_plain_search(spark):
                 at = t.find(e) if t and e else -1
                 want.append((d, i, *((at, at + len(e), "verified_exact") if at >= 0 else (None, None, "unverified"))))
         assert got == sorted(want, key=str)
+
+
+def test_ingest_broadcasts_no_table_that_grows_with_pages(spark, small):
+    from factloom import queries
+
+    pages = queries.rendered_pages(spark, small)
+    records = extraction.coerce(extraction.extract_by_rules(queries.rendered(spark, small)))
+    plan = extraction.build_facts(records, pages)._jdf.queryExecution()
+    assert "Join" in plan.executedPlan().toString() and "Broadcast" not in plan.executedPlan().toString()
