@@ -153,8 +153,8 @@ def build_facts(records: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def attach_entities(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """Facts with the canonical name of their entity, else their own."""
-    names = entities.select("entity_id", "canonical_name")
+    """Facts with the canonical name of their entity, else their own. Names are shuffled: there can be as many as deals."""
+    names = entities.select("entity_id", "canonical_name").hint("merge")
     return facts.join(names, "entity_id", "left").withColumn("entity_name", F.coalesce("canonical_name", "entity_raw_name")).drop("canonical_name")
 
 

@@ -229,6 +229,8 @@ def test_exact_pairs_match_a_plain_search(spark):
 def test_ingest_broadcasts_no_table_that_grows_with_pages(spark, small):
     from factloom import queries
 
+    plan = queries.ingest_facts(spark, small)
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
     pages = queries.rendered_pages(spark, small)
     records = extraction.coerce(extraction.extract_by_rules(queries.rendered(spark, small)))
     plan = extraction.build_facts(records, pages)._jdf.queryExecution()
