@@ -187,3 +187,17 @@ def test_components(spark, chunk):
             label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.label for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(3), chunk).collect()}
     assert {x: got.get(x, x) for x in label} == label
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_clusters_lose_no_link_that_a_forest_leaves_out(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash.links, "__defaults__", (block,))
+    words = [f"w{k}" for k in range(100)]
+    texts = [words[:90], words[10:], words]  # 0.79 between the first two, 0.9 between each and the third
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    # The forest has the first two, which fail, and 1 and 2; the link of 0 and 2 is one bit longer.
+    marks = [bytes(32), bytes(31) + b"\x01", bytes(29) + b"\xff\xff\x1f"]
+    fp = simhash.F.element_at(simhash.F.array(*[simhash.F.lit(m) for m in marks]), (simhash.F.col("doc_id") + 1).cast("int"))
+    fps = simhash.fingerprints(docs, 5, 256, True).withColumn("fp", fp)
+    got = simhash.clusters(docs, fps, 5, 256, 0.8, 0.01).collect()
+    assert len(got) == 3 and len({r.cluster for r in got}) == 1
