@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from factloom.llm import contamination, langid, line_quality, mixing, secret_scan
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -187,6 +188,15 @@ def test_boilerplate_lines_that_stand_together(spark, shared):
     assert not any(x in after[i] for i in after for x in common)
 
 
+def test_texts_are_cleaned_where_they_stand(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0")).unionByName(docs.where("doc_id % 40 = 0").withColumn("source", F.lit(None).cast("string")))
+    here, met = line_quality.clean(docs, least=3), line_quality.clean(docs, least=3, broadcast=0)
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()  # no text is shuffled
+    assert here.count() and here.exceptAll(met).count() == met.exceptAll(here).count() == 0
+    assert here.exceptAll(docs).count()  # some are cut
+
+
 def test_languages_of_held_out_documents(spark):
     rng = random.Random(8)
     vocabulary = {k: ["".join(rng.choices(a, k=rng.randint(2, 8))) for _ in range(300)] for k, a in {"aa": "abcdefghiß", "bb": "efghijklmnø", "cc": "жзиклмнопр"}.items()}
